@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bin_completion, bpe, separator_scan, token_store
-from siltstone.llm.common import documents
+from siltstone.llm import bin_completion, bpe, hd_langid, quality, separator_scan, token_store, toxicity, winnowing
+from siltstone.llm.common import documents, labels
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -26,14 +26,30 @@ def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.count_tokens(separator_scan.durable(blocks, "flat-tokens"), END_OF_TEXT).select("doc_id", "n_tokens")
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_with_edits(documents(spark, sf_dir))
+
+
 def op5_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.pack(documents(spark, sf_dir), BYTE_BPE, SEQUENCE)
 
 
+def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op7_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hd_langid.predict_languages(documents(spark, sf_dir))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.write_store(documents(spark, sf_dir), BYTE_BPE).digests()
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
