@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bin_completion, bpe, hd_langid, quality, separator_scan, token_store, toxicity, winnowing
+from siltstone.llm import bin_completion, bpe, hd_langid, minhash_dedup, quality, separator_scan, token_store, toxicity, winnowing
 from siltstone.llm.common import documents, labels
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,10 @@ END_OF_TEXT = 50256
 SEQUENCE = 2048
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(documents(spark, sf_dir), MULTI_RANKS, public_tokenizers.PATTERN)
 
@@ -55,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_minhash_dedup": minhash_dedup.ORACLE}
