@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bin_completion, bpe, hd_langid, minhash_dedup, quality, separator_scan, token_store, toxicity, winnowing
+from siltstone.llm import bin_completion, bpe, hd_langid, minhash_dedup, quality, separator_scan, surrogates, token_store, toxicity, winnowing
 from siltstone.llm.common import documents, labels
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +46,11 @@ def op7_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hd_langid.predict_languages(documents(spark, sf_dir))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return surrogates.replace_entities(docs, surrogates.distinct_key(docs))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.write_store(documents(spark, sf_dir), BYTE_BPE).digests()
 
