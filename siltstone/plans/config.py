@@ -126,12 +126,17 @@ class Catalogue:
         raise ConfigError(f"no table {name!r}; there are {', '.join(t.table_name for t in self.tables)}")
 
 
+#: Date relationships of tables that declare none.
+DATE_RELATIONSHIPS = {("claims", "policy_id"): {"column": "claim_date", "parent_column": "policy_start_date", "foreign_key": "policy_id"}}
+
+
 def checked(tables: list[TableSpec], rollups: list[RollupSpec] = ()) -> Catalogue:
     names = {t.table_name for t in tables}
     for t in tables:
         for column, ref in t.foreign_keys.items():
             if "." not in ref or ref.split(".", 1)[0] not in names:
                 raise ConfigError(f"{t.table_name}: foreign key {column} refers to an unknown table in {ref!r}")
+        t.date_relationships = t.date_relationships or [r for (name, column), r in DATE_RELATIONSHIPS.items() if name == t.table_name and column in t.foreign_keys]
     return Catalogue(sorted(tables, key=lambda t: t.sequence), list(rollups))
 
 
