@@ -77,6 +77,11 @@ def fold_of(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(4)
 
 
+def in_share(doc_id, share) -> F.Column:
+    """True for about ``share`` of all ids, always the same ones: a sample without an order, a limit or a shuffle."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << 31)) < F.least(F.lit(1.0), share if isinstance(share, F.Column) else F.lit(float(share))) * (1 << 31)
+
+
 def ascii_lower_words(text: str) -> list[bytes]:
     """Words between the six ASCII white-space characters, A-Z lower-cased; other letters stay as they are."""
     return text.encode("utf-8", "surrogatepass").lower().split()

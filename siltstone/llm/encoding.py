@@ -64,6 +64,10 @@ _ODD_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\
 _CHUNK = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ .,\n])|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 
 
+#: Unseen chunks encoded by one call.
+_JOIN = 500
+
+
 class MemoEncoder:
     """Byte-level BPE by the tokenizers library, with the ids of chunks remembered.
 
@@ -78,6 +82,10 @@ class MemoEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.keep, self.young, self.old = keep, {}, {}
+        # in a byte-level vocabulary each character of a token's name stands for one byte
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.lengths[list(vocabulary.values())] = [len(name) for name in vocabulary]
 
     def _lookup(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk, as bytes."""
@@ -91,13 +99,39 @@ class MemoEncoder:
                     unseen.append(i)
                 else:
                     out[i] = young[chunks[i]] = v
-        fresh = [chunks[i] for i in unseen]
-        for i, c, e in zip(unseen, fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            out[i] = young[c] = array(code, e.ids).tobytes()
+        alone, joined = [], []
+        for i in unseen:
+            c = chunks[i]
+            (joined if c[0] == " " and c[1:].isalpha() else alone).append(i)
+        for k in range(0, len(joined), _JOIN):
+            part = joined[k : k + _JOIN]
+            got = self._joined([chunks[i] for i in part])
+            if got is None:
+                alone += part
+            else:
+                for i, raw in zip(part, got):
+                    out[i] = young[chunks[i]] = raw
+        for i, e in zip(alone, self.tokenizer.encode_batch_fast([chunks[i] for i in alone], add_special_tokens=False)):
+            out[i] = young[chunks[i]] = array(code, e.ids).tobytes()
         if len(young) > self.keep:
             self.old, self.young = young, {}
         return out
 
+    def _joined(self, chunks: list[str]) -> list[bytes] | None:
+        """The ids of chunks that are a blank and letters, from one call: each is one match, also side by side.
+
+        Byte lengths of the ids say where a chunk ends; None if an id should span an end.
+        """
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids)
+        ends = np.cumsum([len(c.encode()) for c in chunks])
+        reached = np.cumsum(self.lengths[ids])
+        at = np.searchsorted(reached, ends)
+        if at[-1] != len(ids) - 1 or (reached[at] != ends).any():
+            return None
+        raw, size = ids.astype(self.code).tobytes(), array(self.code).itemsize
+        cuts = [0, *((at + 1) * size).tolist()]
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 

@@ -18,10 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import durable
+from siltstone.llm.common import durable, in_share
 from siltstone.llm.encoding import grouped, memo_encoder
 
-#: Documents the dictionary is trained on at most, and their greatest length in characters: it serves short documents.
+#: About how many documents are picked to train the dictionary on, and their greatest length in characters: it serves
+#: short documents, and passes over picked ones that are longer.
 SAMPLE_DOCS, SAMPLE_CHARS = 512, 8192
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
@@ -30,15 +31,15 @@ BLOCKS = "shard int, block int, first_doc long, last_doc long, ids long, dict_sh
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
-    """A dictionary trained on the serialized ids of up to SAMPLE_DOCS documents, chosen by the hash of their ids.
+    """A dictionary trained on the serialized ids of about SAMPLE_DOCS documents, chosen by the hash of their ids.
 
     Empty where there are too few documents to train on; documents are then compressed without one.
     """
     import zstandard
 
-    rows = (
-        docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).select("text").collect()
-    )
+    share = SAMPLE_DOCS / max(1, docs.count())
+    picked = docs.select("doc_id", "text").where(in_share(F.col("doc_id"), share) & F.length("text").between(1, SAMPLE_CHARS))
+    rows = sorted(picked.groupBy("doc_id").agg(F.min("text").alias("text")).collect())
     arrays = [serialise(ids) for ids in memo_encoder(path).encode([r.text for r in rows])]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, arrays)) // 8)), arrays).as_bytes()
