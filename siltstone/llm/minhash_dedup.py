@@ -5,14 +5,15 @@ sketch: a bitmap in which each sample toggles one bit. Samples that two document
 sketches, so its population count estimates high similarities closely; it decides which pairs that meet in a band
 bucket are worth the exact check on the full sets.
 
-Copies never become pairs: equal sets are one class from the start. A bucket first links its members with its least
-one, so a group of n near copies costs n checks; only buckets that still hold several components are then paired in
-full, across components alone.
+Copies never become pairs: equal sets are one class from the start. A bucket's members are first checked with its most
+central one, so a group of n near copies costs n checks. Members that this leaves in another component are compared
+with the whole group block by block, in tasks of bounded size that emit links alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import xxhash
@@ -32,6 +33,10 @@ SKETCH_BITS = 512
 #: XOR bits up to which a pair is checked. At the threshold 36 of 240 samples differ, some 34 bits; 80 is seven
 #: standard deviations above.
 MOST_BITS = 80
+#: Bits of the filter that says which texts are read again, whatever their number.
+BITMAP_BITS = 1 << 23
+#: Documents of a group that one task compares with as many others.
+BLOCK = 256
 _SEED = 20240517
 _P = np.uint64(0x100000001B3)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -143,17 +148,44 @@ def worth_checking(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.where(sizes & (differing_bits(F.col("sketch_a"), F.col("sketch_b")) <= MOST_BITS)).select("a", "b").distinct()
 
 
-def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold; sets are made anew from the texts, for these documents alone."""
+def id_bitmap(ids: DataFrame) -> bytes:
+    """BITMAP_BITS bits, those set to which the ids hash; the same number of bytes however many ids there are."""
+    at = F.pmod(F.xxhash64("rep"), F.lit(BITMAP_BITS))
+    parts = ids.select(F.bitmap_bucket_number(at).alias("n"), F.bitmap_bit_position(at).alias("p")).groupBy("n").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+    size = BITMAP_BITS // 8 // 4096 + 2  # buckets of 4096 bytes, numbered from 0 or 1
+    out = bytearray(size * 4096)
+    for r in parts:
+        out[r.n * 4096 : (r.n + 1) * 4096] = r.bits
+    return bytes(out)
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, hashes): the full shingle sets of the wanted documents, made anew from the texts.
+
+    No text is shuffled: a bitmap of fixed size tells which rows may be wanted, as they are read; only their sets meet
+    the ids themselves.
+    """
+    wanted = durable(wanted, "wanted")
+    bitmap = id_bitmap(wanted)
 
     def sets(batches):
         import pyarrow as pa
 
-        book = _Book()
+        book, bits = _Book(), np.frombuffer(bitmap, np.uint8)
         for b in batches:
+            at, number = b.column(2).to_numpy(), b.column(3).to_numpy()
+            b = b.filter(pa.array((bits[number * 4096 + at // 8] >> (at % 8).astype(np.uint8)) & 1 == 1, pa.bool_()))
             raw = [shingle_set(t, book).astype("<u8").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["rep", "hashes"])
 
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
+    placed = docs.where("doc_id is not null").select("doc_id", "text", F.bitmap_bit_position(at).alias("p"), F.bitmap_bucket_number(at).alias("n"))
+    return durable(placed.mapInArrow(sets, "rep long, hashes binary").join(wanted, "rep", "left_semi"), "sets", "lz4")
+
+
+def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets meet the threshold."""
+
     def check(batches):
         import pyarrow as pa
 
@@ -165,13 +197,66 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = durable(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    full = durable(docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text").mapInArrow(sets, "rep long, hashes binary"), "sets", "lz4")
+    full = full_sets(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
     side = lambda s: full.select(F.col("rep").alias(s), F.col("hashes").alias(f"hashes_{s}"))
     return durable(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "hashes_a", "hashes_b").mapInArrow(check, "a long, b long"), "links")
 
 
+def links_across(groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between different components of each group of (hub, rep, c, open): those that the star left open.
+
+    Open members are compared with all members of their group, block by block: a task has at most a block of either,
+    whatever the group's size, and counts common shingles through an inverted list, so pairs are never laid out.
+    """
+    sizes = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("n_open")).where("n_open > 0")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("long")
+    some = groups.join(sizes.select("hub", blocks("n").alias("nb"), blocks("n_open").alias("nq")), "hub")
+    place = F.xxhash64("rep")
+    members = some.select("hub", "rep", "c", "open", F.lit(0).alias("query"), F.pmod(place, "nb").alias("mb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("qb"))
+    queries = some.where("open").select("hub", "rep", "c", "open", F.lit(1).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("mb"), F.pmod(place, "nq").alias("qb"))
+    rows = durable(members.unionByName(queries), "blocks")
+    key = ["hub", "qb", "mb"]
+    dealt = rows.join(full_sets(docs, rows.select("rep").distinct()), "rep").select(*key, "query", "rep", "c", "open", "hashes").repartition(*key).sortWithinPartitions(*key, "query")
+
+    def compare(batches):
+        import pyarrow as pa
+
+        group, members, queries = None, [], []
+        for b in itertools.chain(batches, [None]):
+            rows = zip(*(b.column(i).to_pylist() for i in range(b.num_columns))) if b is not None else [(None,) * 8]
+            found = []
+            for hub, qb, mb, query, rep, c, is_open, raw in rows:
+                if (hub, qb, mb) != group:
+                    found += block_links(members, queries)
+                    group, members, queries = (hub, qb, mb), [], []
+                (queries if query else members).append((rep, c, is_open, raw))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+
+    return durable(dealt.mapInArrow(compare, "a long, b long"), "links")
+
+
+def block_links(members: list[tuple], queries: list[tuple]) -> list[tuple[int, int]]:
+    """Linked pairs of a query and a member of another component; of two open ones the smaller id asks."""
+    if not members or not queries:
+        return []
+    sets = [np.frombuffer(m[3], "<u8") for m in members]
+    size = np.array([len(x) for x in sets])
+    hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    reps, comps, is_open = np.array([m[0] for m in members]), np.array([m[1] for m in members]), np.array([m[2] for m in members])
+    out = []
+    for rep, c, _, raw in queries:
+        x = np.frombuffer(raw, "<u8")
+        lo, n = np.searchsorted(hashes, x, "left"), np.searchsorted(hashes, x, "right")
+        n -= lo
+        ends = np.cumsum(n)
+        both = np.bincount(owner[np.repeat(lo - (ends - n), n) + np.arange(ends[-1])], minlength=len(sets)) if len(x) else np.zeros(len(sets), int)
+        ok = (100 * both >= PERCENT * (len(x) + size - both)) & (comps != c) & (~is_open | (reps > rep))
+        out += [(rep, int(r)) for r in reps[ok]]
+    return out
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -188,20 +273,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = durable(some.join(least, "digest").select("doc_id", "rep", "n_shingles", "bands", "sketch"), "members")
     classes = member.where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bands", "sketch")
     buckets = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    hubs = buckets.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.max("rep").alias("__last")).where("hub != __last").select("band", "key", "hub")
-    met = durable(buckets.join(hubs, ["band", "key"]), "buckets")
+    shared = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = durable(buckets.join(shared, ["band", "key"]), "buckets")
+    # a bucket's hub is the member that meets most others in all its buckets: the text that others are edits of
+    central = met.groupBy("rep").agg(F.sum("size").alias("__met"))
+    ranked = met.join(central, "rep").groupBy("band", "key").agg(F.max(F.struct("__met", -F.col("rep"))).alias("__hub")).select("band", "key", (-F.col("__hub")["col2"]).alias("hub"))
+    around = durable(met.join(ranked, ["band", "key"]).select("hub", "rep").distinct(), "stars")
 
     tied = member.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    stars = durable(worth_checking(met.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), classes), "stars")
+    stars = durable(worth_checking(around.where("rep != hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), classes), "pairs")
     first = linked(stars, docs)
-    so_far = durable(components(first), "components")
-    label = met.join(so_far, met["rep"] == so_far["node"], "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("c"))
-    label = durable(label, "labels")
-    mixed = label.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("band", "key")
-    open_ = label.join(mixed, ["band", "key"])
-    x, y = (open_.select("band", "key", F.col("rep").alias(s), F.col("c").alias(f"c_{s}")) for s in ("a", "b"))
-    across = x.join(y, ["band", "key"]).where("a < b and c_a != c_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    second = linked(worth_checking(across, classes), docs)
+    so_far = durable(components(first.union(tied)), "components")
+    name = lambda of, c: so_far.select(F.col("node").alias(of), F.col("component").alias(c))
+    groups = around.join(name("rep", "c_rep"), "rep", "left").join(name("hub", "c_hub"), "hub", "left")
+    groups = groups.select("hub", "rep", F.coalesce("c_rep", "rep").alias("c"), F.coalesce("c_hub", "hub").alias("__c"))
+    second = links_across(durable(groups.select("hub", "rep", "c", (F.col("c") != F.col("__c")).alias("open")), "groups"), docs)
     whole = components(first.union(second).union(tied))
     found = known.select("doc_id", "n_shingles").join(durable(whole, "components"), F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
