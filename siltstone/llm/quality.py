@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import durable
+from siltstone.llm.common import durable, in_share
 
-#: Labelled documents the trees are trained on at most, chosen by the hash of their ids.
+#: About how many labelled documents the trees are trained on, chosen by the hash of their ids.
 SAMPLE = 20_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 TREES, DEPTH, BINS, RATE, LEAST, RIDGE = 60, 3, 64, 0.2, 10, 1.0
@@ -174,10 +174,16 @@ def _flat(nodes: list, roots: list, start: float) -> Trees:
     return Trees(t[:, 0].astype(int), t[:, 1], t[:, 2].astype(int), t[:, 3].astype(int), t[:, 4], np.array(roots, int), start)
 
 
-def train_on(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees from up to ``sample`` labelled rows of ``stats`` (doc_id, stats); null labels and ids are left out."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__y"))
-    rows = stats.join(known, stats["doc_id"] == known["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(sample).select("stats.*", "__y").toPandas()
+def picked_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(__id, __y) of about ``sample`` labelled documents; null labels and ids are left out."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__id"), (F.col("quality") > 0).cast("int").alias("__y")).distinct()
+    return known.where(in_share(F.col("__id"), sample / max(1, known.count())))
+
+
+def train_on(stats: DataFrame, picked: DataFrame) -> Trees:
+    """Trees from the rows of ``stats`` (doc_id, stats) that have a picked label; about SAMPLE rows reach the driver."""
+    # a bounded sample of ids: always small enough to broadcast
+    rows = stats.join(F.broadcast(picked), stats["doc_id"] == picked["__id"]).select("stats.*", "__id", "__y").dropDuplicates(["__id", "__y"]).toPandas().sort_values(["__id", "__y"])
     return train(features(rows[[*BASE, *MORE]].to_numpy(np.int64).reshape(-1, len(BASE) + len(MORE))), rows["__y"].to_numpy(float))
 
 
@@ -203,7 +209,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     never trained on; repeated rows are judged alike; extra columns are left out; an empty table gives no rows.
     """
     stats = durable(docs.select(docs["doc_id"].cast("long").alias("doc_id"), statistics_udf(docs["text"]).alias("stats")), "statistics")
-    trees = train_on(stats, labels)
+    trees = train_on(stats, picked_labels(labels))
     scored = stats.select("doc_id", *[F.col(f"stats.{n}") for n in BASE], base_failed().alias("base_failed"), verdict_udf(trees, F.col("stats")).alias("score"))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= KEEP_AT))
 
@@ -211,13 +217,12 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns.
 
-    The trees come from the statistics of up to SAMPLE labelled rows; then each row is judged where it stands, so no
+    The trees come from the statistics of about SAMPLE labelled rows; then each row is judged where it stands, so no
     text is shuffled.
     """
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("quality").alias("quality")).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE)
-    # at most SAMPLE ids of eight bytes: always small enough to broadcast
-    sample = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(known.select("__id")), F.col("doc_id") == F.col("__id"))
-    trees = train_on(sample.select("doc_id", statistics_udf(F.col("text")).alias("stats")), known.select(F.col("__id").alias("doc_id"), "quality"))
+    picked = picked_labels(labels)
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(picked.select("__id")), F.col("doc_id") == F.col("__id"), "left_semi")
+    trees = train_on(texts.select("doc_id", statistics_udf(F.col("text")).alias("stats")), picked)
     judged = docs.withColumn("__stats", statistics_udf(docs["text"]))
     judged = judged.withColumn("__score", verdict_udf(trees, F.col("__stats")))
     return judged.where(~base_failed("__stats") & (F.col("__score") >= KEEP_AT)).drop("__stats", "__score")
