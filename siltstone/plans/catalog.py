@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from siltstone.functions.expressions import TOTAL
 from siltstone.operators import checks, clean, expectations, history, rollup
 from siltstone.plans.inputs import AS_OF, BRONZE, CATALOGUE, CUSTOMERS, INGESTED_AT, LINES, NEW_CUSTOMERS, NEW_LINES, NEW_ORDERS, ORDERS, bronze
 from siltstone.sources import landing
+from siltstone.sources.store import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 AT = "_bronze_ingest_timestamp"
@@ -26,7 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 class Tables:
-    """Tables of one call, each a plan that runs when the query does."""
+    """Tables of one call. Each is a plan that runs when the query does; ``silver`` and ``tagged`` are written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -44,30 +46,32 @@ class Tables:
     def customers(self) -> DataFrame:
         return history.silver(clean.passed(clean.clean(self.bronze(CUSTOMERS), CUSTOMERS, {})), CUSTOMERS)
 
-    @property
-    def known_customers(self) -> DataFrame:
+    @staticmethod
+    def known(customers: DataFrame) -> DataFrame:
         """Customers without every seventh, so some orders have lost theirs."""
-        return self.customers.where(F.col("customer_id").cast("long") % 7 != 0)
+        return customers.where(F.col("customer_id").cast("long") % 7 != 0)
 
     @property
-    def tagged_orders(self) -> DataFrame:
-        return clean.clean(self.bronze(ORDERS), ORDERS, {"customers": self.known_customers})
+    def known_customers(self) -> DataFrame:
+        return self.known(self.customers)
 
     @property
     def orders(self) -> DataFrame:
-        return history.silver(clean.passed(self.tagged_orders), ORDERS)
-
-    @property
-    def tagged_lines(self) -> DataFrame:
-        return clean.clean(self.bronze(LINES), LINES, {"orders": self.orders})
-
-    @property
-    def lines(self) -> DataFrame:
-        return history.silver(clean.passed(self.tagged_lines), LINES)
-
-    @property
+        return history.silver(clean.passed(clean.clean(self.bronze(ORDERS), ORDERS, {"customers": self.known_customers})), ORDERS)
+
+    @cached_property
+    def tagged(self) -> dict[str, DataFrame]:
+        """Tagged rows of each table; the parents' silver tables come from the written ones."""
+        out = {"customers": written(clean.clean(self.bronze(CUSTOMERS), CUSTOMERS, {}), "tagged-customers")}
+        customers = self.known(history.silver(clean.passed(out["customers"]), CUSTOMERS))
+        out["orders"] = written(clean.clean(self.bronze(ORDERS), ORDERS, {"customers": customers}), "tagged-orders")
+        orders = history.silver(clean.passed(out["orders"]), ORDERS)
+        out["lines"] = written(clean.clean(self.bronze(LINES), LINES, {"orders": orders}), "tagged-lines")
+        return out
+
+    @cached_property
     def silver(self) -> dict[str, DataFrame]:
-        return {"customers": self.customers, "orders": self.orders, "lines": self.lines}
+        return {s.table_name: written(history.silver(clean.passed(self.tagged[s.table_name]), s), f"silver-{s.table_name}") for s in CATALOGUE.tables}
 
     def rejects(self, tagged: DataFrame, spec) -> DataFrame:
         return clean.rejects(tagged, spec, INGESTED_AT).select("source_table", "reject_reason", "reject_detail")
@@ -149,7 +153,7 @@ def existing_pk_rejects(spark, sf_dir):
 @query
 def quarantine_all(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return t.rejects(t.tagged_orders, ORDERS).unionByName(t.rejects(t.tagged_lines, LINES))
+    return t.rejects(t.tagged["orders"], ORDERS).unionByName(t.rejects(t.tagged["lines"], LINES))
 
 
 @query
@@ -195,7 +199,7 @@ def scd1_merge(spark, sf_dir):
 @query
 def none_append(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    table = t.lines.where(F.col("order_id").cast("long") % 50 != 0)
+    table = history.silver(clean.passed(t.tagged["lines"]), LINES).where(F.col("order_id").cast("long") % 50 != 0)
     tagged = clean.check_duplicates(clean.cast(clean.tag(t.made(NEW_LINES).withColumn("note", F.lit("drift"))), LINES), LINES, table)
     return history.appended(clean.passed(tagged), LINES, table).drop(AT)
 
@@ -269,12 +273,12 @@ def check_completeness(spark, sf_dir):
 @query
 def check_uniqueness(spark, sf_dir):
     """Keys of the append-only table that several rows have, and in how many rows."""
-    return checks.duplicate_keys(Tables(spark, sf_dir).lines, LINES).agg(F.count(F.lit(1)).alias("duplicate_key_count"), F.sum("n_rows").alias("n_rows"))
+    return checks.duplicate_keys(clean.passed(Tables(spark, sf_dir).tagged["lines"]), LINES).agg(F.count(F.lit(1)).alias("duplicate_key_count"), F.sum("n_rows").alias("n_rows"))
 
 
 @query
 def check_uniqueness_keys(spark, sf_dir):
-    return checks.duplicate_keys(Tables(spark, sf_dir).lines, LINES)
+    return checks.duplicate_keys(clean.passed(Tables(spark, sf_dir).tagged["lines"]), LINES)
 
 
 @query
@@ -353,14 +357,15 @@ def verification_suite(spark, sf_dir):
 
 @query
 def constraint_suggestions(spark, sf_dir):
-    return expectations.suggestions(expectations.profile(Tables(spark, sf_dir).read("nation").crossJoin(F.broadcast(Tables(spark, sf_dir).read("region").limit(1).select(F.lit(1).alias("one"))))))
+    t = Tables(spark, sf_dir)
+    frames = [("nation", t.read("nation")), ("customer", t.read("customer").select("c_mktsegment", "c_nationkey"))]
+    return landing.union_all([expectations.suggestions(expectations.profile(df)).withColumn("table_name", F.lit(n)) for n, df in frames])
 
 
 @query
 def row_conservation(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    tagged = {"customers": clean.clean(t.bronze(CUSTOMERS), CUSTOMERS, {}), "orders": t.tagged_orders, "lines": t.tagged_lines}
-    return landing.union_all([checks.conservation(t.bronze(s), history.silver(clean.passed(tagged[s.table_name]), s), clean.rejects(tagged[s.table_name], s), s) for s in CATALOGUE.tables])
+    return landing.union_all([checks.conservation(t.bronze(s), t.silver[s.table_name], clean.rejects(t.tagged[s.table_name], s), s) for s in CATALOGUE.tables])
 
 
 @query

@@ -165,6 +165,11 @@ _BODIES = {
     "expectations_current": f"SELECT *, unexpected_count = 0 AS success FROM ({_CUSTOMER_SUITE})",
     "verification_suite": _VERIFY,
     "row_conservation": " UNION ALL ".join([_kept("customers", "cust_b", "cust", "(SELECT count(*) FROM cust_b) - (SELECT count(*) FROM cust_ok)", "="), _kept("orders", "ord_b", "ord", "(SELECT count(*) FROM ord_r)", ">="), _kept("lines", "lin_b", "lin", "(SELECT count(*) FROM lin_r)", "=")]),
+    "constraint_suggestions": """, p AS (SELECT 'nation' AS t, 'n_nationkey' AS c, false AS text, count(*) AS n, count(n_nationkey) AS m, count(DISTINCT n_nationkey) AS d, min(n_nationkey) AS lo FROM nation
+        UNION ALL SELECT 'nation', 'n_name', true, count(*), count(n_name), count(DISTINCT n_name), NULL FROM nation UNION ALL SELECT 'nation', 'n_regionkey', false, count(*), count(n_regionkey), count(DISTINCT n_regionkey), min(n_regionkey) FROM nation
+        UNION ALL SELECT 'customer', 'c_mktsegment', true, count(*), count(c_mktsegment), count(DISTINCT c_mktsegment), NULL FROM customer UNION ALL SELECT 'customer', 'c_nationkey', false, count(*), count(c_nationkey), count(DISTINCT c_nationkey), min(c_nationkey) FROM customer)
+      SELECT t AS table_name, c AS column_name, 'is complete' AS suggestion FROM p WHERE n = m UNION ALL SELECT t, c, 'is unique' FROM p WHERE n = m AND n > 1 AND d >= 0.95 * n
+      UNION ALL SELECT t, c, 'is non-negative' FROM p WHERE lo >= 0 UNION ALL SELECT t, c, 'is categorical' FROM p WHERE text AND d <= 10 AND n > 10 * d""",
     "validation_report": f"""SELECT table_name, validator_name, n = 0 AS passed, CAST(n AS INTEGER) AS n_issues FROM (
       SELECT t AS table_name, v AS validator_name, 0 AS n FROM (VALUES ('customers'), ('orders'), ('lines')) x(t), (VALUES ('schema_validator'), ('referential_integrity_validator'), ('scd_validator')) y(v)
       UNION ALL SELECT table_name, 'business_rule_validator', count(*) FILTER (n_violations > 0) FROM ({_RULES}) GROUP BY table_name

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once in the folder that driver and executors share (``spark.checkpoint.dir``), for several readers."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:  # tests and local runs
+        base = "file://" + tempfile.mkdtemp(prefix="siltstone-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path, schema = f"{base.rstrip('/')}/siltstone/{name}-{uuid.uuid4().hex}", df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 class Store:
     """Names like ``silver.claims`` are folders below the root.
 
