@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -72,6 +75,23 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps between tasks: one large object at a time, the one asked for last.
+
+    Workers outlive their stages, so caches of several operators would add up in an executor's memory.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # give the memory back; glibc alone has this call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def fold_of(doc_id) -> F.Column:
     """crc32 of the decimal doc_id modulo 4; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(4)

@@ -14,6 +14,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from siltstone.llm.common import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a worker on each core
 
 #: Characters after which a long text may be cut.
@@ -167,9 +169,8 @@ class MemoEncoder:
         return [done[i] for i in range(len(texts))]
 
 
-@lru_cache(2)
 def memo_encoder(path: str) -> MemoEncoder:
-    return MemoEncoder(path)
+    return held(("encoder", path), lambda: MemoEncoder(path))
 
 
 #: Bytes of text encoded together at most, one text at least.

@@ -196,6 +196,17 @@ def verdict_udf(trees: Trees, stats: Column) -> Column:
     return run(stats)
 
 
+def judged_udf(trees: Trees, text: Column) -> Column:
+    """BASE, MORE and the score of a whole text as a struct column, from one Python step."""
+
+    @F.pandas_udf(", ".join(f"{n} long" for n in (*BASE, *MORE)) + ", score double")
+    def run(series: pd.Series) -> pd.DataFrame:
+        stats = np.array([statistics(t or "") for t in series], np.int64).reshape(-1, len(BASE) + len(MORE))
+        return pd.DataFrame(stats, columns=[*BASE, *MORE]).assign(score=trees.score(features(stats)))
+
+    return run(text)
+
+
 def base_failed(stats: str = "stats") -> Column:
     n, r = F.col(f"{stats}.n_words"), F.col(f"{stats}.n_repeat_words")
     return (n < MIN_WORDS) | (100 * r > MAX_REPEAT_PERCENT * n)
@@ -223,8 +234,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     picked = picked_labels(labels)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(picked.select("__id")), F.col("doc_id") == F.col("__id"), "left_semi")
     trees = train_on(texts.select("doc_id", statistics_udf(F.col("text")).alias("stats")), picked)
-    judged = docs.withColumn("__stats", statistics_udf(docs["text"]))
-    judged = judged.withColumn("__score", verdict_udf(trees, F.col("__stats")))
-    return judged.where(~base_failed("__stats") & (F.col("__score") >= KEEP_AT)).drop("__stats", "__score")
-
-
+    judged = docs.withColumn("__stats", judged_udf(trees, docs["text"]))
+    return judged.where(~base_failed("__stats") & (F.col("__stats.score") >= KEEP_AT)).drop("__stats")
