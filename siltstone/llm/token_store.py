@@ -39,7 +39,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
 
     share = SAMPLE_DOCS / max(1, docs.count())
     picked = docs.select("doc_id", "text").where(in_share(F.col("doc_id"), share) & F.length("text").between(1, SAMPLE_CHARS))
-    rows = sorted(picked.groupBy("doc_id").agg(F.min("text").alias("text")).collect())
+    rows = sorted(picked.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")).collect())
     arrays = [serialise(ids) for ids in memo_encoder(path).encode([r.text for r in rows])]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, arrays)) // 8)), arrays).as_bytes()
