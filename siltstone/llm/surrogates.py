@@ -25,6 +25,7 @@ ATTEMPTS = 4
 # What entities look like, in the order in which they are tried. Possessive runs, and what must not stand
 # before a match, keep the search linear in the length of the text.
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_TITLES = "Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Господин|Госпожа"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "secret": r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s?[=:]\s?\"?[A-Za-z0-9+/_-]{8,200}+",
@@ -35,9 +36,11 @@ PATTERNS = {
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
-    "person": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}",
+    "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}", r"(?: [0-9]{4} [0-9]{4} [0-9]{4}|-[0-9]{4}-[0-9]{4}-[0-9]{4})")
+#: No pattern matches a text without one of these; the search for them is a fraction of the work.
+NEEDED = rf"[0-9@=:]|AKIA|ghp_|sk-|[a-f]{{32}}|(?:{_TITLES})\.? \p{{Lu}}"
 
 # Alphabets in which a character moves.
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -157,13 +160,15 @@ def surrogate(v: Column, key: str = KEY) -> Column:
 
 
 def entities_of(text: Column) -> Column:
-    """All entities of a whole text, in order."""
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    """All entities of a whole text, in order; null for a null text."""
+    return F.when(text.rlike(NEEDED), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def collisions(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(surrogate, entities): surrogates that several distinct entities of the table share. Empty, if all is well."""
     found = docs.select(F.explode(entities_of(F.col("text"))).alias("entity")).distinct()
+    # few bytes, but much work for each: dealt out again, or one task would get them all
+    found = found.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return found.select(surrogate(F.col("entity"), key).alias("surrogate")).groupBy("surrogate").agg(F.count(F.lit(1)).alias("entities")).where("entities > 1")
 
 
