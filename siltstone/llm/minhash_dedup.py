@@ -295,9 +295,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their group of near duplicates, once each, with all their columns."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("__dropped"), "left_anti")
+    """The rows of ``docs`` that are the first of their group of near duplicates, with all their columns.
+
+    Of rows with equal doc_id one stays, the least by text and then the other columns; rows without a doc_id all stay.
+    """
+    verdicts = durable(near_duplicates(docs).select("doc_id", "kept"), "verdicts")
+    own = docs["doc_id"].cast("long")
+    dropped = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    out = docs.join(dropped, own == F.col("__id"), "left_anti")
+    again = verdicts.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id")
+    if not again.head(1):
+        return out
+    again = durable(again, "repeated")
+    rows = F.struct("text", *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    once = docs.join(again, own == F.col("__id")).groupBy("__id").agg(F.min(rows).alias("__row")).select("__row.*").select(*docs.columns)
+    return out.join(again, own == F.col("__id"), "left_anti").unionByName(once)
 
 
 #: The same in DuckDB's SQL, brute force: distinct shingles, pairs with one in common, and reachability.

@@ -80,6 +80,9 @@ def test_equal_ids_with_other_texts_are_one_document(make):
 def test_first_of_each_group_stays_with_its_columns(make):
     got = M.keep_first(make(["a b c", "A B C", None, "", "", "d"]))
     assert sorted(r.doc_id for r in got.collect()) == [0, 2, 3, 4, 5] and "kept" in got.columns
+    again = make(["b c d", "a b c", "z", "b c d", "n", "n"], [7, 7, 8, 9, None, None])
+    kept = M.keep_first(again)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "n"), (0, "n"), (7, "a b c"), (8, "z")] and kept.columns == again.columns
 
 
 def test_block_links_find_each_pair_once():
