@@ -16,16 +16,15 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import fold_of
+from siltstone.llm.common import fold_of, held, in_share
 
-#: Labelled documents learned from at most, of each class, chosen by the hash of their ids; longer ones are passed over.
+#: About how many labelled documents are picked of each class, by the hash of their ids; longer ones are passed over.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2000, 4000, 20_000
 #: Parts of them that calibrate in turn.
 FOLDS = 5
@@ -192,18 +191,17 @@ def train(rows: list[tuple[str, int]]) -> Model:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from a bounded sample of labelled documents whose fold is not 2; null texts, labels and ids are left out."""
     known = labels.where(F.col("toxic").isNotNull() & (fold_of(F.col("doc_id")) != 2)).select(F.col("doc_id").cast("long").alias("__id"), (F.col("toxic") > 0).cast("int").alias("__y")).distinct()
-    have = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select(F.col("doc_id").cast("long").alias("__id")).distinct()
-    by = Window.partitionBy("__y").orderBy(F.xxhash64("__id"), "__id")
-    ids = known.join(have, "__id", "left_semi").withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= F.when(F.col("__y") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_ORDINARY)).select("__id", "__y")
-    # at most SAMPLE_TOXIC + SAMPLE_ORDINARY ids: always small enough to broadcast
-    picked = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text")).where(F.length("__text") <= SAMPLE_CHARS).join(F.broadcast(ids), "__id")
+    of = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.when(F.col("__y") == 1, SAMPLE_TOXIC / of.get(1, 1)).otherwise(SAMPLE_ORDINARY / of.get(0, 1))
+    # about SAMPLE_TOXIC + SAMPLE_ORDINARY ids: always small enough to broadcast
+    ids = known.where(in_share(F.col("__id"), share))
+    picked = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text")).where(F.length("__text") <= SAMPLE_CHARS).join(F.broadcast(ids), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text"))
     rows = sorted({(r["__id"], r["__text"], r["__y"]) for r in picked.collect()})
     return train([(t, y) for _, t, y in rows])
 
 
-@lru_cache(2)
 def meter_of(ordinary: bytes, toxic: bytes) -> Meter:
-    return Meter(ordinary, toxic)
+    return held(("meter", ordinary, toxic), lambda: Meter(ordinary, toxic))
 
 
 def score_udf(model: Model, text: Column) -> Column:
