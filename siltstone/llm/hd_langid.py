@@ -10,15 +10,15 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import fold_of
+from siltstone.llm.common import fold_of, in_share
 
 DIMENSIONS = 1024
 #: Letters with vectors of their own; code points from here on share them by remainder, which keeps the table bounded.
 LETTERS = 4093
-#: Documents of each language that its prototype bundles at most, chosen by the hash of their ids.
+#: About how many documents of each language its prototype bundles, chosen by the hash of their ids.
 SAMPLE = 400
 UNKNOWN = "und"
 _SEED = 20240229
@@ -79,14 +79,15 @@ def document_vectors(texts: list[str]) -> np.ndarray:
 def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     """Unit prototypes by language, from documents with a language whose fold is not 2.
 
-    Each of the SAMPLE documents of a language weighs the same. Partial sums come from the executors: a vector for
+    Each document picked for a language weighs the same. Partial sums come from the executors: a vector for
     each language and batch.
     """
     import pyarrow as pa
 
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id").cast("long")) != 2)).select(F.col("doc_id").cast("long").alias("__id"), F.col("lang").alias("__lang"))
-    by = Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
-    ids = known.distinct().withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= SAMPLE).select("__id", "__lang")
+    # one row a language, so small enough to broadcast
+    of = known.groupBy("__lang").agg((F.lit(float(SAMPLE)) / F.count(F.lit(1))).alias("__share"))
+    ids = known.join(F.broadcast(of), "__lang").where(in_share(F.col("__id"), F.col("__share"))).select("__id", "__lang").distinct()
 
     def bundle(batches):
         for b in batches:
@@ -96,7 +97,7 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
                     sums[lang] = sums.get(lang, 0) + v / np.linalg.norm(v)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype(float) for v in sums.values()], pa.list_(pa.float64()))], ["lang", "vector"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("lang").alias("__lang"), F.col("text").alias("__text")).where(F.col("__text").isNotNull()).join(ids, ["__id", "__lang"])
+    picked = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("lang").alias("__lang"), F.col("text").alias("__text")).where(F.col("__text").isNotNull()).join(F.broadcast(ids), ["__id", "__lang"])
     sums: dict[str, np.ndarray] = {}
     for r in picked.select("__lang", "__text").mapInArrow(bundle, "lang string, vector array<double>").collect():
         sums[r.lang] = sums.get(r.lang, 0) + np.array(r.vector)
