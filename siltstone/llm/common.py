@@ -105,7 +105,3 @@ def in_share(doc_id, share) -> F.Column:
 def ascii_lower_words(text: str) -> list[bytes]:
     """Words between the six ASCII white-space characters, A-Z lower-cased; other letters stay as they are."""
     return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import bin_completion, bpe, hd_langid, minhash_dedup, quality, separator_scan, surrogates, token_store, toxicity, winnowing
-from siltstone.llm.common import documents, labels
+from siltstone.llm.common import documents, durable, labels
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,7 +27,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = separator_scan.write_flat(documents(spark, sf_dir), BYTE_BPE_RANKS, public_tokenizers.PATTERN, END_OF_TEXT)
-    return separator_scan.count_tokens(separator_scan.durable(blocks, "flat-tokens"), END_OF_TEXT).select("doc_id", "n_tokens")
+    return separator_scan.count_tokens(durable(blocks, "flat-tokens"), END_OF_TEXT).select("doc_id", "n_tokens")
 
 
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

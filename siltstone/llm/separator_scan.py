@@ -12,7 +12,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import durable  # noqa: F401  (for callers that write their blocks)
 from siltstone.llm.encoding import encode_ranks, rank_encoder
 
 BLOCK_IDS = 1 << 20

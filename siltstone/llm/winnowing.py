@@ -182,8 +182,8 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     ordered = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     streamed = durable(ordered.mapInArrow(run, RESULT + ", pid int, edge string, text string"), "winnowed")
     # two rows a partition: their order, and a join of each first row with the last row of the partition below
-    edges = streamed.where(F.col("edge").isNotNull()).select("pid", "edge").distinct().where("edge = 'last'").select("pid")
-    below = edges.select("pid", F.lag("pid").over(Window.orderBy("pid")).alias("lower"), F.max("pid").over(Window.partitionBy()).alias("highest")).select("pid", F.coalesce("lower", "highest").alias("lower"))
+    ends = streamed.where("edge = 'last'").select("pid")
+    below = ends.select("pid", F.lag("pid").over(Window.orderBy("pid")).alias("lower"), F.max("pid").over(Window.partitionBy()).alias("highest")).select("pid", F.coalesce("lower", "highest").alias("lower"))
     firsts = streamed.where("edge = 'first'").select("pid", "doc_id", "text")
     lasts = streamed.where("edge = 'last'").select(F.col("pid").alias("lower"), F.col("text").alias("following"))
     met = firsts.join(below, "pid").join(lasts, "lower").select("doc_id", "text", "following").mapInArrow(meet, RESULT)
