@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 KEY = "siltstone-surrogates"
 #: Keys tried until no two entities share a surrogate.
 ATTEMPTS = 4
+#: Characters of an entity that are hashed one by one.
+BLOCK = 64
 
 # What entities look like, in the order in which they are tried. Possessive runs, and what must not stand
 # before a match, keep the search linear in the length of the text.
@@ -28,8 +30,8 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TITLES = "Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Господин|Госпожа"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s?[=:]\s?\"?[A-Za-z0-9+/_-]{8,200}+",
-    "access_key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
+    "secret": r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s?[=:]\s?\"?[A-Za-z0-9+/_-]{8,}+(?:\.[A-Za-z0-9+/_-]++)*+",
+    "access_key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})(?![A-Za-z0-9])",
     "card": r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![\p{L}\p{N}])",
@@ -65,12 +67,21 @@ def _hash(key: str, kind: str, before: Column) -> Column:
 
 
 def walk(v: Column, key: str, kind: str, alphabets: tuple[str, ...]) -> Column:
-    """Each character moved within its alphabet, by one place at least; characters of none stay."""
+    """Each character moved within its alphabet, by one place at least; characters of none stay.
 
-    def step(i: Column) -> Column:
-        return _moved(F.substr(v, i, F.lit(1)), _hash(key, kind, F.substr(v, F.lit(1), i - 1)), alphabets)
+    What stands before a part of BLOCK characters enters the hash as a digest, so time is not the square of the length.
+    """
+
+    def block(done: Column, part: Column) -> Column:
+        def step(i: Column) -> Column:
+            before = F.concat(done["digest"], F.substr(part, F.lit(1), i - 1))
+            return _moved(F.substr(part, i, F.lit(1)), _hash(key, kind, before), alphabets)
+
+        moved = F.array_join(F.transform(F.sequence(F.lit(1), F.length(part)), step), "")
+        return F.struct(F.sha2(F.concat(done["digest"], part), 256).alias("digest"), F.concat(done["moved"], moved).alias("moved"))
 
-    return F.when(F.length(v) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1))), step), "")).otherwise(F.lit(""))
+    parts = F.regexp_extract_all(v, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.aggregate(parts, F.struct(F.lit("").alias("digest"), F.lit("").alias("moved")), block, lambda done: done["moved"])
 
 
 def _rest(v: Column, head: Column) -> Column:

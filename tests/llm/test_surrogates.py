@@ -103,3 +103,17 @@ def test_odd_rows_and_no_python(spark, odd, empty):
     assert out.columns == [*odd.columns, "n_entities"] and S.replace_entities(empty).count() == 0
     plan = S.replace_entities(spark.range(9).selectExpr("id AS doc_id", "concat('call 10.0.0.', id) AS text"))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Exchange"))
+
+
+def test_long_secrets_go_whole(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"
+    long = "".join(f"Qx{k:04d}" for k in range(50))
+    texts = [f"token = {long} end", f"token={jwt}. Next", f"see sk-{long[:90]}, done", f'password="{long}{long}"', "api_key: " + long * 100]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in S.replace_entities(df).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i].n_entities == 1 and len(rows[i].text) == len(t)
+        assert not any(t[k : k + 6] in rows[i].text for k in range(9, len(t) - 6) if t[k : k + 6].isalnum())
+    assert rows[1].text.startswith("token=") and rows[1].text.endswith(". Next") and all(part not in rows[1].text for part in jwt.split("."))
+    near = replaced(spark, [f"token={'a' * 150}{c}{'b' * 150}" for c in "wxyz"])
+    assert len({s for _, s in near.values()}) == 4 and len({s[:156] for _, s in near.values()}) == 1
