@@ -7,7 +7,8 @@ and two entities of a type never share one (distinctness): where they first diff
 Each move is at least one place, so the first character that moves differs from the original's. Parts that carry the
 format stay: the country code and a fictional 555 exchange of a phone number, a reserved or top-level domain, the name
 of a password field, a title. Names keep their vowels' and consonants' places and a title's gender, and a name's last
-letter, which marks gender in many languages, stays a vowel or consonant as it was. Card numbers keep their Luhn check
+letter, which marks gender in many languages, stays a vowel or consonant as it was; letters outside the alphabets of
+``NAME`` move among all others of their script and category (upper case, lower case, other letters, digits). Card numbers keep their Luhn check
 digit's correctness, addresses their range.
 
 Distinctness is also checked over the whole table (``collisions``), and a key that collides anyway is changed.
@@ -15,6 +16,10 @@ Distinctness is also checked over the whole table (``collisions``), and a key th
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +59,62 @@ NAME = (
 )
 
 
+def _other_letters() -> tuple[list[tuple[int, int]], list[str]]:
+    """Letters and numbers outside NAME: long runs of code points (first, number), and alphabets of a script and category."""
+    groups: dict[tuple[str, str], list[int]] = {}
+    taken = set("".join(NAME))
+    for cp in range(128, sys.maxunicode + 1):
+        c = chr(cp)
+        category = unicodedata.category(c)
+        if category[0] in "LN" and c not in taken:
+            groups.setdefault((category, unicodedata.name(c, "unnamed").split()[0]), []).append(cp)
+    runs, alphabets = [], []
+    for _, points in sorted(groups.items()):
+        rest = []
+        for _, run in groupby(enumerate(points), lambda x: x[1] - x[0]):
+            run = [cp for _, cp in run]
+            if len(run) >= LONG_RUN:
+                runs.append((run[0], len(run)))
+            else:
+                rest += run
+        if len(rest) == 1 and alphabets:  # a letter alone has nowhere to move
+            alphabets[-1] += chr(rest[0])
+        elif rest:
+            alphabets.append("".join(map(chr, rest)))
+    return runs, alphabets
+
+
+#: Letters of a script and category in a row that move by arithmetic, not by a list of them: ideographs, syllables.
+LONG_RUN = 1000
+RUNS, ALPHABETS = _other_letters()
+_LETTERS = "".join(ALPHABETS)
+#: For each of the letters, the number of its alphabet as a character.
+_ALPHABET_OF = "".join(chr(0x100 + n) * len(a) for n, a in enumerate(ALPHABETS))
+_SIZES = [len(a) for a in ALPHABETS]
+_STARTS = [sum(_SIZES[:n]) for n in range(len(_SIZES))]
+
+
+def _moved_other(c: Column, hashed: Column) -> Column:
+    """A letter or number of any script, moved among those of its script and category."""
+
+    def shifted(at: Column, size: Column) -> Column:
+        return (at + 1 + hashed % (size - 1)) % size
+
+    def listed(at: Column) -> Column:
+        n = F.ascii(F.substr(F.lit(_ALPHABET_OF), at, F.lit(1))) - 0xFF
+        start = F.element_at(F.lit(_STARTS), n)
+        return F.substr(F.lit(_LETTERS), (start + 1 + shifted(at - 1 - start, F.element_at(F.lit(_SIZES), n))).cast("int"), F.lit(1))
+
+    at = F.instr(F.lit(_LETTERS), c)
+    out = F.when(at > 0, listed(at)).otherwise(c)
+    for first, size in RUNS:
+        point = F.lit(first) + shifted(F.ascii(c) - first, F.lit(size))
+        out = F.when(F.ascii(c).between(first, first + size - 1), F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(out)
+    return out
+
+
 def _moved(c: Column, hashed: Column, alphabets: tuple[str, ...]) -> Column:
-    out = c
+    out = F.when(F.ascii(c) < 128, c).otherwise(_moved_other(c, hashed)) if alphabets is NAME else c
     for a in reversed(alphabets):
         at = F.instr(F.lit(a), c)  # from 1
         out = F.when(at > 0, F.substr(F.lit(a), ((at + hashed % (len(a) - 1)) % len(a) + 1).cast("int"), F.lit(1))).otherwise(out)

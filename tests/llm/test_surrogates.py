@@ -117,3 +117,21 @@ def test_long_secrets_go_whole(spark):
     assert rows[1].text.startswith("token=") and rows[1].text.endswith(". Next") and all(part not in rows[1].text for part in jwt.split("."))
     near = replaced(spark, [f"token={'a' * 150}{c}{'b' * 150}" for c in "wxyz"])
     assert len({s for _, s in near.values()}) == 4 and len({s[:156] for _, s in near.values()}) == 1
+
+
+def test_letters_of_every_script_move(spark):
+    import sys
+    import unicodedata
+
+    letters = [chr(cp) for cp in range(128, sys.maxunicode + 1) if unicodedata.category(chr(cp))[0] in "LN"]
+    got = spark.createDataFrame([(c,) for c in letters], "c string").select("c", S.kind_of(F.concat("c", F.lit("@example.com"))).alias("k"), S.walk(F.col("c"), S.KEY, "email", S.NAME).alias("s")).collect()
+    detected = [r for r in got if r.k == "email"]
+    assert len(detected) > 100_000 and all(r.s != r.c and len(r.s) == 1 for r in detected) and len({r.s for r in got}) == len(got)
+    assert all(unicodedata.category(r.s) in ("Lu", "Ll") for r in detected if r.c in "ĄŁŻąłżŐűĞışỄệЇїєΆΩάςԱա")
+    names = ["Mr. Արամ Սարգսյան", "Frau Żółć Ąść", "Miss Ğül Şık", "Господин Їжак Єва", "Mrs. Ώρα Άννα"]
+    entities = [*names, "李雷@example.com", "김철수@example.com", "ไทย@example.com", "жük٣@example.com"]
+    for v, (k, s) in replaced(spark, entities).items():
+        assert k == ("person" if v in names else "email")
+        start = v.index(" ") + 1 if v in names else 0
+        for a, b in zip(v[start:].split("@")[0], s[start:].split("@")[0], strict=True):
+            assert a == b if a in " .-" else a != b and unicodedata.category(a) == unicodedata.category(b)
