@@ -119,9 +119,7 @@ class Meter:
         self.least = len(self.by_ordinary(FRAME + b" " + FRAME))
 
     def gain(self, window: str) -> int:
-        """Bytes that the toxic dictionary saves, negative if the window is strong; 0 for one too short for any piece."""
-        if len(window) < START_FROM:
-            return 0
+        """Bytes that the toxic dictionary saves, negative if the window is strong."""
         raw = FRAME + f" {window} ".encode("utf-8", "surrogatepass") + FRAME
         cost = len(self.by_ordinary(raw))
         g = max(0, cost - len(self.by_toxic(raw)))

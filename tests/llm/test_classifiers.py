@@ -98,3 +98,15 @@ def test_gains():
     meter = T.Meter(m.ordinary, m.toxic)
     assert all(meter.gain(w) <= -T.STRONG for w in ("worthless", "disgusting", "pathetic")) and meter.gain("the") == 0
     assert meter.gains("The THE the").tolist() == [0, 0, 0] and len(meter.gains("")) == 0
+
+
+def test_toxic_words_of_three_letters_count():
+    rng = random.Random(3)
+    plain = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    for slurs in (["qzx", "vyq", "zwv"], ["욕설", "악담"], ["賤人", "混蛋"]):
+        text = lambda bad: " ".join(rng.choice(slurs) if bad and k % 6 == 0 else rng.choice(plain) for k in range(60))
+        rows = [(text(y), y) for y in (0, 1) for _ in range(60)]
+        model = T.train(rows)
+        meter = T.Meter(model.ordinary, model.toxic)
+        assert all(meter.gain(w) for w in slurs)
+        assert all((model.score(text(y), meter) >= T.PREDICT_AT) == bool(y) for y in (0, 1) for _ in range(20))
