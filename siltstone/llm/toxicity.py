@@ -1,20 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text, one on ordinary and toxic text. A window of a document
-is compressed with either; what the toxic dictionary saves is its gain. How many windows reach which gains, for the
-length of the document, gives a score through thresholds calibrated on documents the dictionaries did not see.
-
-Small windows need two measures. A window stands between two frames that both dictionaries hold, as zstd stores blocks
-of few bytes uncompressed, where no dictionary could help. And the toxic dictionary gets, of the toxic text, the
-word-aligned pieces that are significantly more frequent there; whole toxic documents are mostly ordinary text, which
-would hide them.
+Two zstandard dictionaries are trained apart from one another, one on ordinary text, one on toxic text. A document is
+cut in windows of a few words, each of which is compressed with the ordinary dictionary alone and with the toxic one at
+hand as well; what the toxic one saves is the window's gain. A threshold on how likely the document's gains are, under
+a mixture of ordinary and toxic windows, gives the verdict; it is calibrated on documents no dictionary has seen.
+
+Most of a toxic document is ordinary text, so its windows are refined in rounds: dictionaries trained on all folds of
+windows but one measure that one, and the windows with a gain that ordinary text seldom has are what the next toxic
+dictionary is trained on. Windows of ordinary text that gained nonetheless go into the next ordinary dictionary. Folds
+follow the windows' hash, so a copy of a window never vouches for it.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,191 +22,206 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import fold_of, held, in_share
-
-#: About how many labelled documents are picked of each class, by the hash of their ids; longer ones are passed over.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2000, 4000, 20_000
-#: Parts of them that calibrate in turn.
-FOLDS = 5
-#: Pieces of toxic text: word starts of these lengths and whole words, in at least so many documents, so many times as
-#: frequent, and with so large a log-likelihood ratio (twice the difference; 20 is a chance of one in a hundred thousand).
-START_FROM, START_TO, LEAST_DOCS, TIMES, RATIO = 4, 9, 3, 4.0, 20.0
-#: Words of ordinary text, by frequency, and bytes of toxic pieces in the dictionaries.
-ORDINARY_WORDS, TOXIC_BYTES = 8000, 16_000
+from siltstone.llm.common import fold_of, free_name, held, in_share
+
+#: About how many labelled documents are picked of each class, by the hash of their ids, whatever their length.
+SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
+#: Words of a window; windows do not reach over the end of a sentence or line.
+WINDOW_WORDS = 4
+#: Distinct windows of ordinary text, by hash, that train its dictionary.
+ORDINARY_WINDOWS = 120_000
+#: Bytes of the ordinary dictionary, of its second part for windows that gained nonetheless, and of the toxic one in each round.
+ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 1 << 17, 1 << 15, (1 << 16, 1 << 14, 1 << 14)
+#: What zstandard's trainer is told: length of a segment and of the runs that it counts.
+SEGMENT, RUN = 16, 6
 LEVEL = 9
+#: Stands around each window and at both ends of the dictionaries: zstandard stores what it cannot shorten, so a short
+#: window alone would cost the same with any dictionary.
 FRAME = b"\n0123456789:;=?ABCDEFGHIJKL\n"
-#: Words a window has. Gains of windows are remembered, up to so many.
-WINDOW_WORDS, REMEMBER = 1, 400_000
-GAINS = (2, 3, 4, 5, 6, 8)
-#: A strong window: such a gain, and more than half of what the window costs without the toxic dictionary.
-STRONG = 3
-FEATURES = len(GAINS) + 5
+FOLDS = 4
+#: A window is chosen if its gain is so many times as frequent in toxic as in ordinary documents; the gains tried.
+LIFT, TRIED, LEAST_CHOSEN = 4.0, range(3, 14), 20
+#: Gains from here on count alike.
+MOST_GAIN = 16
+#: Shares of toxic windows that the mixture may have.
+SHARES = np.array([0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2])
+#: Documents of a class that a model needs.
+LEAST_DOCS = 5
 PREDICT_AT = 0.3
+#: Windows whose gain a worker remembers.
+REMEMBER = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE_END = re.compile(r"[.!?\n|]+")
 
 
-def words(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall(text.lower())
-
+def windows(text: str) -> list[bytes]:
+    """The distinct windows of a whole text: runs of letters, lower-cased, WINDOW_WORDS at a time."""
+    out = set()
+    for sentence in _SENTENCE_END.split(text.lower()):
+        words = _WORD.findall(sentence)
+        out.update(" ".join(["", *words[k : k + WINDOW_WORDS], ""]) for k in range(0, len(words), WINDOW_WORDS))
+    return sorted(w.encode("utf-8", "surrogatepass") for w in out)
 
-def windows(text: str) -> list[str]:
-    ws = words(text)
-    return ws if WINDOW_WORDS == 1 else [" ".join(ws[k : k + WINDOW_WORDS]) for k in range(0, len(ws), WINDOW_WORDS)]
 
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary of about ``size`` bytes; the samples themselves where they are too few to train on."""
+    import zstandard
 
-def pieces(text: str) -> set[str]:
-    out = set()
-    for w in set(words(text)):
-        out.add(f" {w} ")
-        out.update(" " + w[:k] for k in range(START_FROM, min(len(w), START_TO)))
-    return out
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=RUN, split_point=1.0, level=3).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
-def count_pieces(folds: list[list[str]], only: set[str] | None = None) -> list[Counter]:
-    out = []
-    for texts in folds:
-        n: Counter = Counter()
-        for t in texts:
-            n.update(pieces(t) if only is None else pieces(t) & only)
-        out.append(n)
-    return out
+def coster(dictionary: bytes):
+    """Bytes that a window costs with the dictionary's content."""
+    import zstandard as z
 
+    content = FRAME + dictionary + FRAME
+    # equal parameters for all dictionaries, or costs would not compare
+    how = z.ZstdCompressionParameters.from_level(LEVEL, source_size=256, dict_size=200_000, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
+    d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=how)
+    compress = z.ZstdCompressor(dict_data=d, compression_params=how).compress
+    return lambda window: len(compress(FRAME + window + FRAME))
 
-def toxic_pieces(in_toxic: Counter, in_ordinary: Counter, n1: int, n0: int) -> list[str]:
-    """Pieces significantly more frequent in toxic documents, the most significant last: nearest in the dictionary."""
 
-    def ratio(p: str) -> float:
-        a, b = in_toxic[p], in_ordinary[p]
-        share = (a + b) / (n1 + n0)
-        return 2 * (a * math.log(a / (share * n1)) + (b * math.log(b / (share * n0)) if b else 0))
+class Meter:
+    """Gains of windows: bytes that the toxic dictionary saves.
 
-    often = (p for p, n in in_toxic.items() if n >= LEAST_DOCS)
-    chosen = {p: ratio(p) for p in often if (in_toxic[p] + 0.5) / (n1 + 1) > TIMES * (in_ordinary[p] + 0.5) / (n0 + 1)}
-    return sorted((p for p in chosen if chosen[p] > RATIO), key=lambda p: (chosen[p], p))
+    It lies before the ordinary one, so whatever both hold costs the same with it and without it.
+    """
 
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.alone, self.beside = coster(ordinary), coster(toxic + ordinary)
+        self.known: dict[bytes, int] = {}
 
-@dataclass
-class Model:
-    """Contents of both dictionaries, and the calibration: weights of the document's features."""
+    def gain(self, window: bytes) -> int:
+        g = self.known.get(window)
+        if g is None:
+            if len(self.known) >= REMEMBER:
+                self.known.clear()
+            g = self.known[window] = max(0, min(MOST_GAIN, self.alone(window) - self.beside(window)))
+        return g
 
-    ordinary: bytes = b""
-    toxic: bytes = b""
-    weights: np.ndarray = field(default_factory=lambda: np.array([-4.0, *[0.0] * FEATURES]))
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
-    spread: np.ndarray = field(default_factory=lambda: np.ones(FEATURES))
+    def counts(self, text: str) -> np.ndarray:
+        """How many distinct windows of a whole text have each gain, 0 to MOST_GAIN."""
+        return counted([self.gain(w) for w in windows(text)])
 
-    def score(self, text: str, meter: Meter) -> float:
-        x = (document_features(meter.gains(text)) - self.mean) / self.spread
-        return float(1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30))))
 
+def counted(gains: list[int]) -> np.ndarray:
+    return np.bincount(np.array(gains, np.int64), minlength=MOST_GAIN + 1)
 
-class Meter:
-    """Compresses windows with both dictionaries."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        import zstandard as z
-
-        def compressor(content: bytes):
-            how = z.ZstdCompressionParameters.from_level(LEVEL, source_size=256, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
-            d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=how)
-            return z.ZstdCompressor(dict_data=d, compression_params=how).compress
+@dataclass
+class Model:
+    """Both dictionaries; how much likelier each gain is in toxic windows than in ordinary ones; and the calibration."""
 
-        self.by_ordinary, self.by_toxic = compressor(FRAME + ordinary + FRAME), compressor(FRAME + ordinary + toxic + FRAME)
-        self.known: dict[str, int] = {}
-        self.least = len(self.by_ordinary(FRAME + b" " + FRAME))
+    ordinary: bytes = b""
+    toxic: bytes = b""
+    odds: np.ndarray = field(default_factory=lambda: np.ones(MOST_GAIN + 1))
+    intercept: float = -4.0
+    slope: float = 0.0
 
-    def gain(self, window: str) -> int:
-        """Bytes that the toxic dictionary saves, negative if the window is strong."""
-        raw = FRAME + f" {window} ".encode("utf-8", "surrogatepass") + FRAME
-        cost = len(self.by_ordinary(raw))
-        g = max(0, cost - len(self.by_toxic(raw)))
-        return -g if g >= STRONG and 2 * g > cost - self.least else g
+    def evidence(self, counts: np.ndarray) -> float:
+        """Log likelihood of the gains with the best share of toxic windows, against that with none."""
+        return float((np.log1p(SHARES[:, None] * (self.odds[None] - 1)) @ counts).max())
 
-    def gains(self, text: str) -> np.ndarray:
-        out, known = [], self.known
-        for w in windows(text):
-            g = known.get(w)
-            if g is None:
-                if len(known) >= REMEMBER:
-                    known.clear()
-                g = known[w] = self.gain(w)
-            out.append(g)
-        return np.array(out, np.int64)
+    def score(self, text: str, meter: Meter) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.intercept + self.slope * self.evidence(meter.counts(text)), -30, 30))))
 
 
-def document_features(gains: np.ndarray) -> np.ndarray:
-    """Windows with each gain or more (log), strong ones (log, share), others' share, greatest gain, number of windows (log)."""
-    strong, size = int((gains < 0).sum()), np.abs(gains)
-    n = [int((size >= g).sum()) for g in GAINS]
-    root = math.sqrt(len(gains) + 1)
-    return np.array([*np.log1p(n), math.log1p(strong), strong / root, n[1] / root, min(12, size.max(initial=0)), math.log1p(len(gains))])
+def rising(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The nearest values that never fall, by pooling neighbours that do."""
+    pools: list[list] = []
+    for v, w in zip(values, weights):
+        pools.append([v, w, 1])
+        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
+            v2, w2, n2 = pools.pop()
+            v1, w1, n1 = pools.pop()
+            pools.append([(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, n1 + n2])
+    return np.concatenate([[v] * n for v, _, n in pools])
 
 
-def common_words(texts: list[str]) -> bytes:
-    """The content of the ordinary dictionary: the words most documents have, the most frequent last."""
-    often = Counter(w for t in texts for w in set(words(t)))
-    return "".join(" " + w for w in sorted(often, key=lambda w: (often[w], w))[-ORDINARY_WORDS:]).encode()
+def odds_of(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """Odds of a toxic window by gain, from counts over toxic documents, which are mostly ordinary, and ordinary ones."""
+    t, o = ((c + 0.5) / (c + 0.5).sum() for c in (toxic, ordinary))
+    share = max(0.005, float((t[::-1].cumsum() - o[::-1].cumsum()).max()))  # of toxic windows in toxic documents
+    return np.clip((rising(t / o, o) - (1 - share)) / share, 1e-3, 1e4)
 
 
-def joined(found: list[str]) -> bytes:
-    return "".join(p if p.endswith(" ") else p + " " for p in found).encode()[-TOXIC_BYTES:]
+def calibrated(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Intercept and slope of the logistic curve through evidence and labels, with toxic documents weighing ``share``."""
+    w = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
+    a, b = np.column_stack([np.ones(len(x)), np.clip(x, -30, 30)]), np.zeros(2)
+    for _ in range(30):  # Newton's steps, with a slight pull to 0
+        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
+        b += np.clip(np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(2), a.T @ (w * (y - p)) - 0.1 * b), -2, 2)
+    return float(b[0]), float(max(0.0, b[1]))
 
 
 def train(rows: list[tuple[str, int]]) -> Model:
-    """Dictionaries and calibration from (text, label). Without both classes every score is the same, and low.
+    """Dictionaries and calibration from (text, label), for the classes' shares in these rows.
 
-    Dictionaries from all folds but one measure that one, so calibration sees gains as new documents have them; the
-    final toxic dictionary comes from all rows.
+    Without LEAST_DOCS of both classes every score is the same, and low. Two thirds of the ordinary documents train
+    the dictionary, the others measure how often ordinary windows gain.
     """
-    toxic, ordinary = ([[t for t, y in rows if y == c][k::FOLDS] for k in range(FOLDS)] for c in (1, 0))
-    n1, n0 = sum(map(len, toxic)), sum(map(len, ordinary))
-    if n1 < FOLDS or n0 < FOLDS:
+    toxic, ordinary = ([windows(t) for t, y in rows if y == c] for c in (1, 0))
+    if min(len(toxic), len(ordinary)) < LEAST_DOCS:
         return Model()
-    in_toxic = count_pieces(toxic)
-    total = sum(in_toxic, Counter())
-    in_ordinary = count_pieces(ordinary, {p for p, n in total.items() if n >= LEAST_DOCS})
-    common = common_words([t for f in ordinary for t in f])
-    xs, ys = [], []
-    for k in range(FOLDS):
-        rest = [sum((c for i, c in enumerate(counts) if i != k), Counter()) for counts in (in_toxic, in_ordinary)]
-        meter = Meter(common, joined(toxic_pieces(*rest, n1 - len(toxic[k]), n0 - len(ordinary[k]))))
-        for texts, y in ((toxic[k], 1.0), (ordinary[k], 0.0)):
-            xs += [document_features(meter.gains(t)) for t in texts]
-            ys += [y] * len(texts)
-    x, y = np.array(xs), np.array(ys)
-    mean, spread = x.mean(0), x.std(0) + 1e-9
-    a = np.column_stack([np.ones(len(x)), (x - mean) / spread])
-    w, ridge = np.zeros(a.shape[1]), np.diag([0.0, *[1.0] * (a.shape[1] - 1)])
-    for _ in range(25):  # Newton's steps for the logistic loss
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge + 1e-9 * np.eye(len(w)), a.T @ (y - p) - ridge @ w)
-    return Model(common, joined(toxic_pieces(total, sum(in_ordinary, Counter()), n1, n0)), w, mean, spread)
+    share = len(toxic) / (len(toxic) + len(ordinary))
+    aside = [d for k, d in enumerate(ordinary) if k % 3 == 2]
+    distinct = lambda docs: sorted({w for d in docs for w in d}, key=lambda w: (zlib.crc32(w), w))
+    source, plain, kept_out = distinct(toxic), distinct([d for k, d in enumerate(ordinary) if k % 3 != 2])[:ORDINARY_WINDOWS], distinct(aside)
+    in_folds = lambda ws: [[w for w in ws if zlib.crc32(w) % FOLDS == f] for f in range(FOLDS)]
+    base, hard, chosen = trained(plain, ORDINARY_BYTES), b"", set(source)
+    for k, size in enumerate(TOXIC_BYTES):
+        dictionary, from_windows = base + hard, sorted(chosen)
+        alone, gains = coster(dictionary), {}
+        for f, parts in enumerate(zip(in_folds(source), in_folds(plain), in_folds(kept_out))):
+            beside = coster(trained([w for w in from_windows if zlib.crc32(w) % FOLDS != f], size) + dictionary)
+            for part in parts:
+                for w in part:
+                    if w not in gains:
+                        gains[w] = max(0, min(MOST_GAIN, alone(w) - beside(w)))
+        if k + 1 < len(TOXIC_BYTES):
+            n = {name: counted([gains[w] for w in ws])[::-1].cumsum()[::-1] for name, ws in (("toxic", source), ("ordinary", kept_out))}
+            lift = (n["toxic"] / max(1, len(source))) / (n["ordinary"] / max(1, len(kept_out)) + 1e-5)
+            at = next((g for g in TRIED if n["toxic"][g] >= LEAST_CHOSEN and lift[g] >= LIFT), max(TRIED[:6], key=lambda g: lift[g]))
+            chosen = {w for w in source if gains[w] >= at} or chosen
+            missed = [w for w in plain if gains[w] >= max(TRIED[0], at - 1)]
+            hard = trained(missed, HARD_BYTES) if missed else b""
+    counts = [[counted([gains[w] for w in d]) for d in docs] for docs in (toxic, aside)]
+    model = Model(dictionary, trained(from_windows, TOXIC_BYTES[-1]), odds_of(sum(counts[0]), sum(counts[1])))
+    evidence = np.array([model.evidence(c) for of in counts for c in of])
+    model.intercept, model.slope = calibrated(evidence, np.repeat([1.0, 0.0], [len(counts[0]), len(counts[1])]), share)
+    return model
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from a bounded sample of labelled documents whose fold is not 2; null texts, labels and ids are left out."""
-    known = labels.where(F.col("toxic").isNotNull() & (fold_of(F.col("doc_id")) != 2)).select(F.col("doc_id").cast("long").alias("__id"), (F.col("toxic") > 0).cast("int").alias("__y")).distinct()
-    of = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.when(F.col("__y") == 1, SAMPLE_TOXIC / of.get(1, 1)).otherwise(SAMPLE_ORDINARY / of.get(0, 1))
+    known = labels.where(F.col("toxic").isNotNull() & (fold_of(F.col("doc_id")) != 2)).select(F.col("doc_id").cast("long").alias("id"), (F.col("toxic") > 0).cast("int").alias("y")).distinct()
+    of = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.when(F.col("y") == 1, SAMPLE_TOXIC / of.get(1, 1)).otherwise(SAMPLE_ORDINARY / of.get(0, 1))
     # about SAMPLE_TOXIC + SAMPLE_ORDINARY ids: always small enough to broadcast
-    ids = known.where(in_share(F.col("__id"), share))
-    picked = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text")).where(F.length("__text") <= SAMPLE_CHARS).join(F.broadcast(ids), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text"))
-    rows = sorted({(r["__id"], r["__text"], r["__y"]) for r in picked.collect()})
+    ids = known.where(in_share(F.col("id"), share))
+    texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text")).where("text is not null")
+    picked = texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = sorted((r["id"], r["text"], r["y"]) for r in picked.collect())
     return train([(t, y) for _, t, y in rows])
 
 
-def meter_of(ordinary: bytes, toxic: bytes) -> Meter:
-    return held(("meter", ordinary, toxic), lambda: Meter(ordinary, toxic))
+def meter_of(model: Model) -> Meter:
+    return held(("meter", model.ordinary, model.toxic), lambda: Meter(model.ordinary, model.toxic))
 
 
 def score_udf(model: Model, text: Column) -> Column:
     """The score of a whole text, 0 to 1; a null text is scored as an empty one."""
+
     @F.pandas_udf("double")
     def run(series: pd.Series) -> pd.Series:
-        meter = meter_of(model.ordinary, model.toxic)
+        meter = meter_of(model)
         return pd.Series([model.score(t or "", meter) for t in series], dtype="float64")
 
     return run(text)
@@ -219,13 +234,17 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score alike; extra columns are left out; an empty table gives no rows. One pass over the texts, no shuffle of them.
     """
     model = learn(docs, labels)
-    doc = F.col("doc_id").cast("long")
-    return docs.select(doc.alias("doc_id"), F.coalesce(fold_of(doc) == 2, F.lit(True)).alias("held_out"), score_udf(model, F.col("text")).alias("score")).withColumn(
+    doc = docs["doc_id"].cast("long")
+    return docs.select(doc.alias("doc_id"), F.coalesce(fold_of(doc) == 2, F.lit(True)).alias("held_out"), score_udf(model, docs["text"]).alias("score")).withColumn(
         "predicted", (F.col("score") >= PREDICT_AT).cast("int")
     )
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score below PREDICT_AT, with all their columns."""
-    model = learn(docs, labels)
-    return docs.withColumn("__score", score_udf(model, F.col("text"))).where(F.col("__score") < PREDICT_AT).drop("__score")
+    """The rows of ``docs`` that score below PREDICT_AT, with all their columns, whatever their names.
+
+    A null or empty text has no windows and stays, as does a row without a doc_id whose text is clean; repeated rows
+    stay or go together; an empty table stays empty. Without both classes of labels all rows stay.
+    """
+    model, score = learn(docs, labels), free_name(docs, "score")
+    return docs.withColumn(score, score_udf(model, docs["text"])).where(F.col(score) < PREDICT_AT).drop(score)
