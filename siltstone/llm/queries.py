@@ -48,7 +48,7 @@ def op7_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return surrogates.replace_entities(docs, surrogates.distinct_key(docs))
+    return surrogates.replace_entities(docs, surrogates.distinct_key(docs, surrogates.session_key(spark)))
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
