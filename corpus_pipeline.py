@@ -36,8 +36,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with operator 8's surrogates in their texts; n_chars follows where a text changed."""
-    done = surrogates.replace_entities(docs.select(*COLUMNS), surrogates.distinct_key(docs), count_col="__entities")
-    n_chars = F.when(F.col("__entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    key = surrogates.distinct_key(docs, surrogates.session_key(spark))
+    done = surrogates.replace_entities(docs.select(*COLUMNS), key, count_col="n_entities")
+    n_chars = F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
