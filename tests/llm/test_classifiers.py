@@ -90,14 +90,53 @@ def test_labels_of_held_out_rows_change_nothing(make, labels):
     df = make([t for _, t, _ in rows])
     a = labels([(i, 1, y) for i, _, y in rows])
     b = labels([(i, 1, 1 - y if fold(i) == 2 else y) for i, _, y in rows])
-    assert T.learn(df, a).weights.tolist() == T.learn(df, b).weights.tolist()
-
-
-def test_gains():
+    a, b = T.learn(df, a), T.learn(df, b)
+    assert (a.ordinary, a.toxic, a.odds.tolist(), a.intercept, a.slope) == (b.ordinary, b.toxic, b.odds.tolist(), b.intercept, b.slope) and a.slope > 0
+
+
+def brute_score(model, text):
+    """The score from the two dictionaries, window by window, in plain zstandard."""
+    import math
+    import re
+
+    import zstandard as z
+
+    def cost(dictionary, window):
+        how = z.ZstdCompressionParameters.from_level(9, source_size=256, dict_size=200_000, write_content_size=False, write_checksum=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS)
+        d = z.ZstdCompressionDict(T.FRAME + dictionary + T.FRAME, dict_type=z.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=how)
+        return len(z.ZstdCompressor(dict_data=d, compression_params=how).compress(T.FRAME + window.encode() + T.FRAME))
+
+    gains = []
+    seen = set()
+    for sentence in re.split(r"[.!?\n|]+", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+", sentence)
+        while words:
+            window, words = " " + " ".join(words[:4]) + " ", words[4:]
+            if window not in seen:
+                seen.add(window)
+                gains.append(min(16, max(0, cost(model.ordinary, window) - cost(model.toxic + model.ordinary, window))))
+    best = max(sum(math.log(1 + s * (model.odds[g] - 1)) for g in gains) for s in (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2))
+    return 1 / (1 + math.exp(-max(-30, min(30, model.intercept + model.slope * best))))
+
+
+def test_scores_are_those_of_brute_force(make, labels):
+    rows = toxic_rows(400)
+    texts = [t for _, t, _ in rows] + [None, "", "...", "a worthless idiot. Worthless idiot! ß 一", "moron " * 40]
+    df, known = make(texts), labels([(i, 1, y) for i, _, y in rows])
+    model = T.learn(df, known)
+    picked = [*range(0, 400, 40), *range(400, 405)]
+    got = {r.doc_id: r.score for r in T.score_documents(df, known).collect()}
+    assert max(abs(got[i] - brute_score(model, texts[i])) for i in picked) < 1e-9
+
+
+def test_dictionaries_are_trained_apart():
     m = T.train([(t, y) for _, t, y in toxic_rows(800)])
     meter = T.Meter(m.ordinary, m.toxic)
-    assert all(meter.gain(w) <= -T.STRONG for w in ("worthless", "disgusting", "pathetic")) and meter.gain("the") == 0
-    assert meter.gains("The THE the").tolist() == [0, 0, 0] and len(meter.gains("")) == 0
+    assert all(w.encode() in m.toxic and w.encode() not in m.ordinary for w in ("worthless", "disgusting", "pathetic")) and m.ordinary not in m.toxic and m.toxic not in m.ordinary
+    assert meter.gain(b" the worthless in ") > 2 and meter.gain(b" the and ing ") == 0 and np.all(np.diff(m.odds) >= 0)
+    assert T.windows("A b c d, e. a b c d e!\nf | A") == [b" a ", b" a b c d ", b" e ", b" f "]
+    assert meter.counts("").sum() == 0 and meter.counts("The and. The and. THE AND").tolist()[0] == 1
 
 
 def test_toxic_words_of_three_letters_count():
@@ -105,8 +144,12 @@ def test_toxic_words_of_three_letters_count():
     plain = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
     for slurs in (["qzx", "vyq", "zwv"], ["욕설", "악담"], ["賤人", "混蛋"]):
         text = lambda bad: " ".join(rng.choice(slurs) if bad and k % 6 == 0 else rng.choice(plain) for k in range(60))
-        rows = [(text(y), y) for y in (0, 1) for _ in range(60)]
-        model = T.train(rows)
+        model = T.train([(text(y), y) for y in (0, 1) for _ in range(150)])
         meter = T.Meter(model.ordinary, model.toxic)
-        assert all(meter.gain(w) for w in slurs)
-        assert all((model.score(text(y), meter) >= T.PREDICT_AT) == bool(y) for y in (0, 1) for _ in range(20))
+        right = [(model.score(text(y), meter) >= T.PREDICT_AT) == bool(y) for y in (0, 1) for _ in range(20)]
+        assert np.mean(right) > 0.9, (slurs, np.mean(right))
+
+
+def test_stages_keep_all_columns(make, labels):
+    df = make([t for _, t, _ in toxic_rows(200)]).withColumnRenamed("score", "SCORE")
+    assert T.keep_clean(df, labels([(i, 1, y) for i, _, y in toxic_rows(200)])).columns == df.columns
