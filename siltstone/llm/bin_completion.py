@@ -19,11 +19,9 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import durable
 from siltstone.llm.encoding import grouped, memo_encoder
 
-#: Work of the search before the incumbent stands (nodes times distinct lengths), and fillings tried at a node. Any
-#: result is a whole packing.
-WORK, FILLINGS = 400_000, 12
-#: Up to so many pieces a filling is placed once at a node; beyond, as often as the pieces last.
-SINGLE = 64
+#: Steps of the search before the incumbent stands, the only limit that it has; any result is a whole packing. A step is
+#: a length looked at: while sums are made, fillings listed, or a node judged.
+WORK = 3_000_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it), longest first
 Plan = list[tuple[Pattern, int]]
@@ -88,86 +86,121 @@ def lower_bound(hist: dict[int, int], capacity: int) -> int:
     return int(max((big + n2 + np.maximum(0, -(-rest // capacity))).max(), -(-ids[-1] // capacity)))
 
 
-def fillings(hist: dict[int, int], largest: int, capacity: int, waste: int, most: int = FILLINGS) -> list[tuple[int, tuple[int, ...]]]:
-    """(waste, pieces) of undominated ways to complete the bin of ``largest``, least waste first, at most ``most``.
+class Budget:
+    def __init__(self, steps: int):
+        self.left = steps
 
-    One is dominated if an unused piece could take the place of some of its pieces: that bin would be as good and
-    leave smaller pieces over.
+    def spend(self, steps: int = 1) -> None:
+        self.left -= steps
+
+
+def _sums(sizes: list[int], counts: list[int], room: int) -> list[int]:
+    """For each place in ``sizes`` the sums up to ``room`` that the pieces from there on reach, as bits of a number."""
+    mask, out = (1 << room + 1) - 1, [1]
+    for s, n in zip(reversed(sizes), reversed(counts)):
+        bits, step = out[-1], 1
+        while n and s * step <= room:  # counts in powers of two
+            step = min(step, n)
+            bits |= bits << s * step & mask
+            n, step = n - step, step * 2
+        out.append(bits)
+    return out[::-1]
+
+
+def fillings(hist: dict[int, int], largest: int, capacity: int, waste: int, budget: Budget | None = None):
+    """(waste, pieces) of each undominated way to complete the bin of ``largest``, least waste first, one by one.
+
+    Only sums that the pieces reach are followed, so no step leads nowhere. A filling is dominated if unused pieces
+    could take the place of some of its pieces (or of none): that bin would be as good and leave smaller pieces over.
     """
-    sizes = sorted((s for s in hist if hist[s] > (s == largest) and s <= capacity - largest), reverse=True)
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-
-    def walk(i: int, room: int, taken: tuple[int, ...]) -> None:
-        nonlocal steps
-        steps += 1
-        if steps > 3000 or len(found) >= 8 * most:
+    budget, room = budget or Budget(1 << 60), capacity - largest
+    counts = {s: n - (s == largest) for s, n in hist.items() if n > (s == largest) and s <= room}
+    sizes = sorted(counts, reverse=True)
+    reach = _sums(sizes, [counts[s] for s in sizes], room)
+    budget.spend(len(sizes) + 1)
+
+    def exactly(i: int, target: int, taken: tuple[int, ...]):
+        if not target:
+            yield taken
             return
-        fits = False
-        for j in range(bisect.bisect_left(sizes, -room, lo=i, key=lambda s: -s) if i < len(sizes) else i, len(sizes)):
-            s = sizes[j]
-            if taken.count(s) < hist[s] - (s == largest):
-                fits = True
-                walk(j, room - s, (*taken, s))
-                if steps > 3000 or len(found) >= 8 * most:
-                    return
-        if not fits or room == 0:
-            if room <= waste:
-                found.append((room, taken))
-
-    walk(0, capacity - largest, ())
-
-    def dominated(room: int, taken: tuple[int, ...]) -> bool:
-        sums = {0}
-        for t in taken[:6]:
-            sums |= {a + t for a in sums}
-        own = set(taken)
-        return any(0 < a < s <= a + room for a in sums for s in sizes if s not in own and s != a)
-
-    found = sorted(set(found))
-    kept = [f for f in found if not dominated(*f)]
-    return (kept or found)[:most]
+        for j in range(i, len(sizes)):
+            budget.spend()
+            if budget.left <= 0 or not reach[j] >> target & 1:
+                return
+            for k in range(min(counts[sizes[j]], target // sizes[j]), 0, -1):
+                if reach[j + 1] >> target - k * sizes[j] & 1:
+                    yield from exactly(j + 1, target - k * sizes[j], taken + (sizes[j],) * k)
+
+    def dominated(free: int, taken: tuple[int, ...]) -> bool:
+        sums = 1
+        for t in taken:
+            sums |= sums << t
+        window = (1 << free + 1) - 1  # sums from s - free to s
+        for s in sizes:
+            budget.spend()
+            used = taken.count(s)
+            low = s - free
+            bits = (sums >> low if low >= 0 else sums << -low) & window
+            if used:  # a piece does not take the place of its like
+                bits &= ~(1 << free)
+            if used < counts[s] and bits:
+                return True
+        return False
+
+    for free in range(min(waste, room) + 1):
+        if reach[0] >> room - free & 1:
+            for taken in exactly(0, room - free, ()):
+                if not dominated(free, taken):
+                    yield free, taken
 
 
 def bin_completion(hist: dict[int, int], capacity: int, work: int = WORK) -> Plan:
     """As few bins as the search finds: best-fit is the incumbent, L2 the proof; in between, branch and bound.
 
-    At a node the largest piece left gets an undominated filling; a branch ends when the waste so far, with the bins
-    it already has, cannot beat the incumbent. When ``work`` is used up the incumbent stands.
+    At a node the largest piece left gets an undominated filling, as many times as the pieces last or fewer; a branch
+    ends when the waste so far, with the bins it already has, cannot beat the incumbent. With ``work`` enough the
+    result is optimal; when it is used up the incumbent stands, which is never worse than best-fit.
     """
     hist = {int(k): int(v) for k, v in hist.items() if v}
     if any(not 0 < k <= capacity for k in hist):
         raise ValueError("lengths must lie between 1 and the capacity")
     fixed: Plan = [(((capacity, 1),), hist.pop(capacity))] if capacity in hist else []
     best = best_fit(hist, capacity)
-    bound = lower_bound(hist, capacity)
-    if bins_of(best) <= bound:
-        return fixed + best
-    total, pieces = sum(k * v for k, v in hist.items()), sum(hist.values())
-    stack: list[tuple[dict[int, int], Plan, int, int]] = [(hist, [], 0, 0)]  # what is left, bins so far, their number and waste
-    while stack and work > 0 and bins_of(best) > bound:
-        left, plan, used, wasted = stack.pop()
-        work -= 1 + len(left)
-        if not left:
-            if used < bins_of(best):
-                best = plan
-            continue
-        allowed = (bins_of(best) - 1) * capacity - total - wasted
-        if allowed < 0 or used + lower_bound(left, capacity) >= bins_of(best):
-            continue
+    bound, budget, total = lower_bound(hist, capacity), Budget(work), sum(k * v for k, v in hist.items())
+
+    def allowed(wasted: int) -> int:
+        return (bins_of(best) - 1) * capacity - total - wasted
+
+    def branches(left: dict[int, int], wasted: int):
+        largest = max(left)
+        for waste, taken in fillings(left, largest, capacity, allowed(wasted), budget):
+            need = {s: taken.count(s) + (s == largest) for s in {largest, *taken}}
+            for times in range(min(left[s] // n for s, n in need.items()), 0, -1):
+                if waste * times <= allowed(wasted):
+                    rest = {s: n - times * need.get(s, 0) for s, n in left.items() if n > times * need.get(s, 0)}
+                    yield rest, (tuple(sorted(need.items(), reverse=True)), times), waste * times
+
+    stack: list[tuple] = []  # (branches that are open, bins so far, their number and waste)
+
+    def enter(left: dict[int, int], plan: Plan, used: int, wasted: int) -> None:
+        nonlocal best
+        budget.spend(2 * len(left) + 1)
         tail = best_fit(left, capacity)  # from here a solution too
         if used + bins_of(tail) < bins_of(best):
             best = plan + tail
-        largest = max(left)
-        for waste, taken in reversed(fillings(left, largest, capacity, allowed)):
-            need: dict[int, int] = {}
-            for s in (largest, *taken):
-                need[s] = need.get(s, 0) + 1
-            times = 1 if pieces <= SINGLE else min(left[s] // n for s, n in need.items())
-            if waste:
-                times = max(1, min(times, allowed // waste))
-            rest = {s: n - times * need.get(s, 0) for s, n in left.items() if n > times * need.get(s, 0)}
-            stack.append((rest, [*plan, (tuple(sorted(need.items(), reverse=True)), times)], used + times, wasted + times * waste))
+        if left and allowed(wasted) >= 0 and used + lower_bound(left, capacity) < bins_of(best):
+            stack.append((branches(left, wasted), plan, used, wasted))
+
+    if bins_of(best) > bound:
+        enter(hist, [], 0, 0)
+    while stack and budget.left > 0 and bins_of(best) > bound:
+        options, plan, used, wasted = stack[-1]
+        option = next(options, None)
+        if option is None:
+            stack.pop()
+        else:
+            rest, group, waste = option
+            enter(rest, [*plan, group], used + group[1], wasted + waste)
     return fixed + best
 
 

@@ -74,14 +74,16 @@ class MemoEncoder:
     """Byte-level BPE by the tokenizers library, with the ids of chunks remembered.
 
     A text is cut in chunks at places where the split pattern always ends a match; only chunks not seen before go
-    through the library. Two generations of about ``keep`` chunks bound the memory.
+    through the library. Two generations of about ``keep`` chunks bound the memory. The strings of special tokens that
+    a text holds become those tokens, as the library does it; such texts are encoded whole.
     """
 
     def __init__(self, path: str, keep: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.keep, self.young, self.old = keep, {}, {}
         # in a byte-level vocabulary each character of a token's name stands for one byte
@@ -145,7 +147,7 @@ class MemoEncoder:
         flat: list[str] = []
         ends, rows = [0], []
         for i, t in enumerate(texts):
-            if _ODD_SPACE.search(t):
+            if _ODD_SPACE.search(t) or self.special.search(t):
                 done[i] = self._whole(t)
             else:
                 flat += _CHUNK.findall(t)
@@ -177,6 +179,17 @@ def memo_encoder(path: str) -> MemoEncoder:
 GROUP_BYTES = 4 << 20
 
 
+def small_batches(batches, column: int, most: int = GROUP_BYTES):
+    """The rows of Arrow batches in slices of about ``most`` bytes of a column, one row at least: however long values
+    are, what Python holds of them at once is bounded."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        step = max(1, b.num_rows * most // max(1, b.column(column).nbytes))
+        for k in range(0, b.num_rows, step):
+            yield b.slice(k, step)
+
+
 def grouped(batches, column: str = "text", most: int = GROUP_BYTES):
     """Arrow batches as lists of (table of rows, texts) of about ``most`` bytes; a null text is empty."""
     import pyarrow as pa

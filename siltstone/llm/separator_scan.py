@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.encoding import encode_ranks, rank_encoder
+from siltstone.llm.encoding import encode_ranks, rank_encoder, small_batches
 
 BLOCK_IDS = 1 << 20
 BLOCKS = "shard int, block int, ids binary, doc_ids array<bigint>"
@@ -36,7 +36,7 @@ def write_flat(docs: DataFrame, path: str, pattern: str, separator: int, block_i
         def row(ids, docs_ended):
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([docs_ended], pa.list_(pa.int64()))], names)
 
-        for b in batches:
+        for b in small_batches(batches, 1):
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 held.append(np.append(encode_ranks(encoder, t or ""), separator).astype(code))
                 size += len(held[-1])
@@ -66,7 +66,7 @@ def count_tokens(blocks: DataFrame, separator: int) -> DataFrame:
     def summarise(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in small_batches(batches, 2):
             ends, tails = [], []
             for raw in b.column(2).to_pylist():
                 ids = np.frombuffer(raw, code)
@@ -78,7 +78,7 @@ def count_tokens(blocks: DataFrame, separator: int) -> DataFrame:
     def scan(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in small_batches(batches, 2):
             for shard, block, raw, docs in zip(*(b.column(i).to_pylist() for i in range(4))):
                 at = separators(np.frombuffer(raw, code), separator)
                 n = np.diff(at, prepend=-1) - 1

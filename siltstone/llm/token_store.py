@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import durable, in_share
-from siltstone.llm.encoding import grouped, memo_encoder
+from siltstone.llm.encoding import grouped, memo_encoder, small_batches
 
 #: About how many documents are picked to train the dictionary on, and their greatest length in characters: it serves
 #: short documents, and passes over picked ones that are longer.
@@ -105,7 +105,7 @@ class TokenStore:
             import pyarrow as pa
 
             unpack = codec(dictionary)[1].decompress
-            for b in batches:
+            for b in small_batches(batches, 6):
                 for shard, sha, docs, starts, n, at, payload in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
                     if sha != known:
                         raise ValueError(f"the block needs dictionary {sha}")

@@ -7,14 +7,16 @@ in common, and none shorter than GRAM can.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 
 import numpy as np
-from pyspark import TaskContext
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import durable
+from siltstone.llm.encoding import small_batches
 
 GRAM, WINDOW = 16, 32
 #: Shared passages of so many code points are always found.
@@ -80,12 +82,24 @@ def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarra
     return h[at], at
 
 
-def fingerprint_id(kept: tuple[np.ndarray, np.ndarray], n_chars: int) -> str:
-    """Hex digest of the kept hashes and positions and the text's length: equal for equal texts."""
-    d = hashlib.blake2b(n_chars.to_bytes(8, "little"), digest_size=16)
-    d.update(kept[0].astype("<u8").tobytes())
-    d.update(kept[1].astype("<i8").tobytes())
-    return d.hexdigest()
+def serialise(kept: tuple[np.ndarray, np.ndarray]) -> str:
+    """The fingerprint itself: for each kept hash its 40 bits and the gap to the position before, six bytes, in base64.
+
+    Every window has a kept position, so no gap is longer than a window and a byte holds it.
+    """
+    hashes, positions = kept
+    rows = np.empty((len(hashes), 6), np.uint8)
+    rows[:, :5] = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+    rows[:, 5] = np.diff(positions, prepend=-1)
+    return base64.b64encode(rows.tobytes()).decode()
+
+
+def deserialise(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of a serialised fingerprint."""
+    rows = np.frombuffer(base64.b64decode(fingerprint), np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(rows), 8), np.uint8)
+    wide[:, 3:] = rows[:, :5]
+    return wide.view(">u8").astype(np.uint64).reshape(-1), np.cumsum(rows[:, 5].astype(np.int64)) - 1
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -103,12 +117,16 @@ def edited(text: str, following: str) -> str:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, hashes array<long>, positions array<long>): the operator itself; a null text is empty."""
+    """(doc_id, hashes array<long>, positions array<long>): the operator itself.
+
+    A null text is empty and keeps nothing; a null doc_id and repeated rows are taken as they come; extra columns are
+    left out; an empty table gives no rows.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in small_batches(batches, 1):
             kept = [winnow(t or "") for t in b.column(1).to_pylist()]
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k[0].astype(np.int64) for k in kept], longs), pa.array([k[1] for k in kept], longs)], ["doc_id", "hashes", "positions"])
@@ -120,71 +138,76 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 class _Print:
-    """A text's fingerprint, as the comparison needs it."""
+    """A text with its fingerprint, as the comparison needs it."""
 
     def __init__(self, text: str):
         kept = winnow(text)
-        self.text, self.id, self.hashes = text, fingerprint_id(kept, len(text)), np.unique(kept[0])
+        self.text, self.fingerprint, self.hashes = text, serialise(kept), np.unique(kept[0])
 
 
 def _compare(doc, own: _Print, following: _Print) -> tuple:
     changed = edited(own.text, following.text)
     other = own if changed == own.text else _Print(changed)
     sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-    return doc, len(own.text), sha, own.id, other.id, likeness(own.hashes, other.hashes), likeness(own.hashes, following.hashes)
+    return doc, len(own.text), sha, own.fingerprint, other.fingerprint, likeness(own.hashes, other.hashes), likeness(own.hashes, following.hashes)
+
+
+#: Ranges of doc_id for each shuffle partition: more than one, so partitions come out even.
+RANGES = 4
+
+
+def in_ranges(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the number of the range of doc_id that a row is in, from 0; null ids are in the first.
+
+    The bounds are quantiles of the ids alone; as many as partitions, so small enough for the driver.
+    """
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    n = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = docs.agg(F.approx_percentile("doc_id", [k / n for k in range(1, n)], 10 * n).alias("bounds")).first().bounds or []
+    at = np.unique(np.array(bounds, np.int64))
+
+    @F.pandas_udf("int")
+    def of(ids: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        out = np.zeros(len(ids), np.int32)
+        out[known] = np.searchsorted(at, ids[known].astype(np.int64), "left")
+        return pd.Series(out)
+
+    return docs.withColumn("range", of("doc_id"))
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and of the next document, by descending doc_id.
 
-    Rows are dealt by ranges of doc_id, once, and each is compared with the row before it as they stream past; the
-    first row of a range meets the last of the range below it (the first of all, the last of all) in a second, small
-    step with a row or two a partition. A null text is empty. A null doc_id sorts below all others; rows with equal
-    doc_id are ordered by text. One document alone is its own next. An empty table gives no rows; extra columns are
-    left out.
+    Rows are dealt by ranges of doc_id, once, and each is compared with the row before it as they stream past. Each
+    range gets a copy of the last row of the range below it (the first, that of the last): a row a range, found from
+    the ids alone. A null text is empty. A null doc_id sorts below all others; rows with equal doc_id are ordered by
+    text. One document alone is its own next. An empty table gives no rows; extra columns are left out.
     """
+    ranged = in_ranges(docs)
+    ends = durable(ranged.groupBy("range").agg(F.max("doc_id").alias("last")), "range-ends")
+    # a row for each range, in order
+    above = F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(Window.partitionBy()))
+    ends = ends.select(F.col("range").alias("from"), "last", above.alias("to"))
+    same = (F.col("range") == F.col("from")) & F.col("doc_id").eqNullSafe(F.col("last"))
+    # as few rows as ranges, whose number is bounded: small enough to broadcast
+    lasts = ranged.join(F.broadcast(ends), same).groupBy("to").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = ranged.withColumn("own", F.lit(1)).unionByName(lasts.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("range"), F.lit(0).alias("own")))
+    dealt = rows.repartition("range").sortWithinPartitions("range", "own", "doc_id", "text").select("doc_id", "text", "own")
 
     def run(batches):
         import pyarrow as pa
 
-        pid, before, first, doc = TaskContext.get().partitionId(), None, None, None
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "pid", "edge", "text"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
-
-        def table(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-        for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        before, names = None, [x.split()[0] for x in RESULT.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        for b in small_batches(batches, 1):
+            found = []
+            for doc, text, mine in zip(*(b.column(i).to_pylist() for i in range(3))):
                 own = _Print(text or "")
-                if before is None:
-                    first = (doc, own.text)
-                else:
-                    rows.append((*_compare(doc, own, before), pid, None, None))
+                if mine:
+                    found.append(_compare(doc, own, before))
                 before = own
-            if rows:
-                yield table(rows)
-        if first is not None:
-            blank = (None,) * 6
-            yield table([(first[0], *blank, pid, "first", first[1]), (doc, *blank, pid, "last", before.text)])
-
-    def meet(batches):
-        import pyarrow as pa
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
 
-        for b in batches:
-            rows = [_compare(d, _Print(a or ""), _Print(t or "")) for d, a, t in zip(*(b.column(i).to_pylist() for i in range(3)))]
-            if rows:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-                names = [x.split()[0] for x in RESULT.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-    ordered = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    streamed = durable(ordered.mapInArrow(run, RESULT + ", pid int, edge string, text string"), "winnowed")
-    # two rows a partition: their order, and a join of each first row with the last row of the partition below
-    ends = streamed.where("edge = 'last'").select("pid")
-    below = ends.select("pid", F.lag("pid").over(Window.orderBy("pid")).alias("lower"), F.max("pid").over(Window.partitionBy()).alias("highest")).select("pid", F.coalesce("lower", "highest").alias("lower"))
-    firsts = streamed.where("edge = 'first'").select("pid", "doc_id", "text")
-    lasts = streamed.where("edge = 'last'").select(F.col("pid").alias("lower"), F.col("text").alias("following"))
-    met = firsts.join(below, "pid").join(lasts, "lower").select("doc_id", "text", "following").mapInArrow(meet, RESULT)
-    return streamed.where(F.col("edge").isNull()).drop("pid", "edge", "text").unionByName(met)
+    return dealt.mapInArrow(run, RESULT)

@@ -60,10 +60,44 @@ def test_search_beats_best_fit():
     assert B.bins_of(plan) <= B.bins_of(B.best_fit(many, 61))
 
 
-def test_a_better_filling_is_not_dominated():
-    found = B.fillings({10: 1, 6: 1, 5: 1, 4: 2, 3: 1}, 10, 20, 20)
-    assert found[0][0] == 0 and all(room == 10 - sum(taken) for room, taken in found)
-    assert (6, (4,)) not in found
+def test_fillings_are_all_that_are_undominated():
+    import itertools
+    import random
+
+    rng = random.Random(8)
+    for _ in range(60):
+        sizes = [rng.randrange(1, 12) for _ in range(8)]
+        hist = {s: sizes.count(s) for s in sizes}
+        largest, capacity = max(sizes), rng.randrange(12, 24)
+        rest = sorted(sizes, reverse=True)[1:]
+        ways = {tuple(sorted((rest[i] for i in some), reverse=True)) for n in range(8) for some in itertools.combinations(range(7), n)}
+        ways = {w for w in ways if sum(w) <= capacity - largest}
+
+        def better(w):  # some piece not used in place of some that are, or of none
+            unused = list(rest)
+            for x in w:
+                unused.remove(x)
+            free = capacity - largest - sum(w)
+            subsets = [c for n in range(len(w) + 1) for c in itertools.combinations(w, n)]
+            return any(sum(c) <= u <= sum(c) + free and not (u == sum(c) and u in w) for u in unused for c in subsets)
+
+        found = list(B.fillings(hist, largest, capacity, capacity))
+        assert {tuple(sorted(t, reverse=True)) for _, t in found} == {w for w in ways if not better(w)}
+        assert [f for f, _ in found] == sorted(f for f, _ in found) and all(f == capacity - largest - sum(t) for f, t in found)
+
+
+def test_many_pieces_with_a_perfect_packing():
+    import random
+
+    rng = random.Random(2)
+    sizes = []
+    for _ in range(60):  # bins of three to five pieces, filled to the brim
+        cuts = sorted(rng.sample(range(1, 500), rng.randrange(2, 5)))
+        sizes += [b - a for a, b in zip([0, *cuts], [*cuts, 500])]
+    hist = {s: sizes.count(s) for s in set(sizes)}
+    plan = B.bin_completion(hist, 500)
+    check(plan, hist, 500)
+    assert B.bins_of(plan) <= 61
 
 
 def test_lengths_are_checked():

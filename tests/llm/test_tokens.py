@@ -26,7 +26,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BYTE_BPE)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -39,6 +38,11 @@ def test_remembered_chunks_give_the_librarys_ids(library):
     assert encoder.encode([]) == []
 
 
+def test_special_tokens_are_the_librarys(library):
+    text = "see <|endoftext|> here"
+    assert E.MemoEncoder(BYTE_BPE).encode([text])[0].tolist() == library(text) and 50256 in library(text)
+
+
 def test_cuts_are_safe():
     encoder = E.rank_encoder(MULTI_RANKS, PATTERN)
     for t in mixed(300, 2):
@@ -56,6 +60,14 @@ def test_groups_keep_rows_and_texts_together():
     assert got == [(i, "" if i % 7 == 0 else "x" * i) for i in range(50)]
 
 
+def test_batches_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    b = pa.record_batch({"n": list(range(40)), "text": ["x" * 1000] * 40})
+    parts = list(E.small_batches([b, b.slice(0, 0)], 1, 5000))
+    assert pa.Table.from_batches(parts) == pa.Table.from_batches([b]) and max(p.num_rows for p in parts) <= 5
+
+
 def test_round_trip_of_bytes(odd, empty):
     encoder = E.rank_encoder(MULTI_RANKS, PATTERN)
     rows = bpe.encode_documents(odd, MULTI_RANKS, PATTERN).collect()

@@ -25,6 +25,16 @@ def test_minima_with_rightmost_ties():
             assert len(all_) == len(t) - gram + 1 and len({t[i : i + gram]: h for i, h in enumerate(all_.tolist())}) == len(set(all_.tolist()))
 
 
+def test_fingerprints_are_whole():
+    rng = random.Random(5)
+    for n in (0, 1, 15, 16, 40, 5000):
+        kept = W.winnow("".join(rng.choices("abé ", k=n)))
+        back = W.deserialise(W.serialise(kept))
+        assert back[0].tolist() == kept[0].tolist() and back[1].tolist() == kept[1].tolist()
+    a, b = (W.serialise(W.winnow("abcdefghij " * n)) for n in (30, 31))
+    assert a != b
+
+
 def test_stretches_join(monkeypatch):
     t = "".join(random.Random(1).choices("abcd", k=3000))
     whole = W.winnow(t)[1].tolist()
@@ -44,6 +54,9 @@ def test_shared_passages_are_always_found():
 def check(df, rows):
     """``rows``: (doc_id, text) in ascending order, null first."""
     got = sorted((tuple(r) for r in W.compare_with_edits(df).collect()), key=str)
+    for _, _, _, own, other, near, _ in got:  # the likeness follows from the fingerprints
+        a, b = (set(W.deserialise(x)[0].tolist()) for x in (own, other))
+        assert near == (len(a & b) / len(a | b) if a | b else 1.0)
     want = []
     for k, (doc, text) in enumerate(rows):
         following = rows[k - 1][1]
@@ -52,7 +65,7 @@ def check(df, rows):
         kept = [W.winnow(t) for t in (text, changed, following)]
         sets = [set(x[0].tolist()) for x in kept]
         like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
-        want.append((doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), W.fingerprint_id(kept[0], len(text)), W.fingerprint_id(kept[1], len(changed)), like(sets[0], sets[1]), like(sets[0], sets[2])))
+        want.append((doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), W.serialise(kept[0]), W.serialise(kept[1]), like(sets[0], sets[1]), like(sets[0], sets[2])))
     assert got == sorted(want, key=str)
 
 
