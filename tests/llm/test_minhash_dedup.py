@@ -13,7 +13,7 @@ def shingles(text):
     return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """doc_id to the least doc_id reachable."""
     sets, parent = {}, {}
     for i, t in rows:
@@ -28,14 +28,14 @@ def brute(rows):
     ids = sorted(sets)
     for k, a in enumerate(ids):
         for b in ids[:k]:
-            if any(x and y and 100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b]):
+            if any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
                 parent[max(find(a), find(b))] = min(find(a), find(b))
     return {i: find(i) for i in ids}
 
 
-def check(df, rows):
-    got = M.near_duplicates(df).collect()
-    want = brute([r for r in rows if r[0] is not None])
+def check(df, rows, percent=85):
+    got = M.near_duplicates(df, percent).collect()
+    want = brute([r for r in rows if r[0] is not None], percent)
     assert len(got) == len(rows)
     for r in got:
         assert r.component_id == want.get(r.doc_id) and r.kept == (r.doc_id is None or r.doc_id == r.component_id)
@@ -64,6 +64,7 @@ def test_against_brute_force(make):
         texts.append(" ".join(chain))
     rng.shuffle(texts)
     check(make(texts, parts=5), list(enumerate(texts)))
+    check(make(texts, parts=5), list(enumerate(texts)), M.STAGE_PERCENT)
 
 
 def test_odd_rows(odd, empty):
@@ -91,6 +92,21 @@ def test_block_links_find_each_pair_once():
     members = [row(1, 1, False, x), row(2, 1, False, x[:50]), row(3, 3, True, x[:90]), row(4, 4, True, x[:84])]
     assert sorted(M.block_links(members, members[2:])) == [(3, 1), (3, 4)]
     assert M.block_links([], members) == [] and M.block_links(members, []) == []
+    alike = [row(k, k, True, np.delete(x, k)) for k in range(60)]
+    assert len(M.block_links(alike, alike)) == 59  # a tree, not all pairs
+
+
+def test_filters_grow_with_what_is_wanted():
+    assert M.filter_bits(0) == 1 << 16 and M.filter_bits(10**5) == 1 << 21 and M.filter_bits(10**10) == 1 << 28
+    assert (M.Scheme(85).bands, M.Scheme(80).bands) == (24, 36) and 75 < M.Scheme(85).most_bits < 90
+
+
+def test_blocks_ask_for_sets_that_sketches_leave_possible():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 1 << 63, 400, np.uint64)
+    row = lambda rep, s: (rep, rep, True, len(s), M.odd_sketch(M.samples(np.unique(s), 120)).view(np.int64).tolist())
+    near, far = row(2, np.concatenate([x[:390], rng.integers(0, 1 << 63, 10, np.uint64)])), row(3, rng.integers(0, 1 << 63, 400, np.uint64))
+    assert M.near_in_block([row(1, x), near, far], [row(1, x)], 85, M.Scheme(85).most_bits) == [(0, 2, 2, True), (1, 1, 1, True)]
 
 
 def test_odd_sketches_estimate_high_similarities():
@@ -99,12 +115,12 @@ def test_odd_sketches_estimate_high_similarities():
     for _ in range(200):
         x = rng.integers(0, 1 << 63, 1000, np.uint64)
         y = np.concatenate([x[:920], rng.integers(0, 1 << 63, 80, np.uint64)])
-        a, b = (M.odd_sketch(M.samples(np.unique(v))) for v in (x, y))
+        a, b = (M.odd_sketch(M.samples(np.unique(v), 120)) for v in (x, y))
         bits = int(np.bitwise_count(a ^ b).sum())
-        assert bits <= M.MOST_BITS
-        errors.append(M.likeness_of_bits(bits) - 920 / 1080)
+        assert bits <= M.Scheme(85).most_bits
+        errors.append(M.likeness_of_bits(bits, 120) - 920 / 1080)
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
-    assert M.odd_sketch(M.samples(x)).tobytes() == M.odd_sketch(M.samples(x)).tobytes()
+    assert M.odd_sketch(M.samples(x, 120)).tobytes() == M.odd_sketch(M.samples(x, 120)).tobytes()
 
 
 def test_components(spark):
