@@ -84,10 +84,10 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     """
     import pyarrow as pa
 
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id").cast("long")) != 2)).select(F.col("doc_id").cast("long").alias("__id"), F.col("lang").alias("__lang"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id").cast("long")) != 2)).select(F.col("doc_id").cast("long").alias("id"), F.col("lang").alias("lang"))
     # one row a language, so small enough to broadcast
-    of = known.groupBy("__lang").agg((F.lit(float(SAMPLE)) / F.count(F.lit(1))).alias("__share"))
-    ids = known.join(F.broadcast(of), "__lang").where(in_share(F.col("__id"), F.col("__share"))).select("__id", "__lang").distinct()
+    of = known.groupBy("lang").agg((F.lit(float(SAMPLE)) / F.count(F.lit(1))).alias("share"))
+    ids = known.join(F.broadcast(of), "lang").where(in_share(F.col("id"), F.col("share"))).select("id", "lang").distinct()
 
     def bundle(batches):
         for b in batches:
@@ -97,9 +97,9 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
                     sums[lang] = sums.get(lang, 0) + v / np.linalg.norm(v)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype(float) for v in sums.values()], pa.list_(pa.float64()))], ["lang", "vector"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("lang").alias("__lang"), F.col("text").alias("__text")).where(F.col("__text").isNotNull()).join(F.broadcast(ids), ["__id", "__lang"])
+    picked = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").alias("lang"), F.col("text").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(ids), ["id", "lang"])
     sums: dict[str, np.ndarray] = {}
-    for r in picked.select("__lang", "__text").mapInArrow(bundle, "lang string, vector array<double>").collect():
+    for r in picked.select("lang", "text").mapInArrow(bundle, "lang string, vector array<double>").collect():
         sums[r.lang] = sums.get(r.lang, 0) + np.array(r.vector)
     return {lang: v / np.linalg.norm(v) for lang, v in sorted(sums.items()) if np.linalg.norm(v)}
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import durable, in_share
+from siltstone.llm.common import durable, free_name, in_share
 
 #: About how many labelled documents the trees are trained on, chosen by the hash of their ids.
 SAMPLE = 20_000
@@ -175,16 +175,20 @@ def _flat(nodes: list, roots: list, start: float) -> Trees:
 
 
 def picked_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(__id, __y) of about ``sample`` labelled documents; null labels and ids are left out."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__id"), (F.col("quality") > 0).cast("int").alias("__y")).distinct()
-    return known.where(in_share(F.col("__id"), sample / max(1, known.count())))
+    """(id, y) of about ``sample`` labelled documents; null labels and ids are left out."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), (F.col("quality") > 0).cast("int").alias("y")).distinct()
+    return known.where(in_share(F.col("id"), sample / max(1, known.count())))
 
 
 def train_on(stats: DataFrame, picked: DataFrame) -> Trees:
-    """Trees from the rows of ``stats`` (doc_id, stats) that have a picked label; about SAMPLE rows reach the driver."""
+    """Trees from the rows of ``stats`` (doc_id, stats) that have a picked label; about SAMPLE rows reach the driver.
+
+    Of rows with equal doc_id the least statistics count, so a run that is repeated trains the same trees.
+    """
     # a bounded sample of ids: always small enough to broadcast
-    rows = stats.join(F.broadcast(picked), stats["doc_id"] == picked["__id"]).select("stats.*", "__id", "__y").dropDuplicates(["__id", "__y"]).toPandas().sort_values(["__id", "__y"])
-    return train(features(rows[[*BASE, *MORE]].to_numpy(np.int64).reshape(-1, len(BASE) + len(MORE))), rows["__y"].to_numpy(float))
+    of = stats.join(F.broadcast(picked), stats["doc_id"] == picked["id"]).groupBy("id", "y").agg(F.min("stats").alias("stats"))
+    rows = of.select("stats.*", "id", "y").toPandas().sort_values(["id", "y"])
+    return train(features(rows[[*BASE, *MORE]].to_numpy(np.int64).reshape(-1, len(BASE) + len(MORE))), rows["y"].to_numpy(float))
 
 
 def verdict_udf(trees: Trees, stats: Column) -> Column:
@@ -226,13 +230,14 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, whatever their names.
 
     The trees come from the statistics of about SAMPLE labelled rows; then each row is judged where it stands, so no
-    text is shuffled.
+    text is shuffled. A null, empty or blank text fails the base rules and goes; a null doc_id is judged like any;
+    repeated rows stay or go together; an empty table stays empty.
     """
-    picked = picked_labels(labels)
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(picked.select("__id")), F.col("doc_id") == F.col("__id"), "left_semi")
+    picked, name = picked_labels(labels), free_name(docs, "judged")
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(picked.select("id")), F.col("doc_id") == F.col("id"), "left_semi")
     trees = train_on(texts.select("doc_id", statistics_udf(F.col("text")).alias("stats")), picked)
-    judged = docs.withColumn("__stats", judged_udf(trees, docs["text"]))
-    return judged.where(~base_failed("__stats") & (F.col("__stats.score") >= KEEP_AT)).drop("__stats")
+    judged = docs.withColumn(name, judged_udf(trees, docs["text"]))
+    return judged.where(~base_failed(name) & (F.col(f"{name}.score") >= KEEP_AT)).drop(name)

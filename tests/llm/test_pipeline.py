@@ -40,7 +40,7 @@ def test_stages(spark, stages):
         n = brute(r.text)
         if n[0] < 50 or 100 * n[4] > 50 * n[0]:
             assert i not in good
-    want = components_of([(i, r.text) for i, r in good.items()])
+    want = components_of([(i, r.text) for i, r in good.items()], 80)
     assert set(first) == {i for i in good if want[i] == i}
     assert set(private) == set(first) and all(private[i].lang == first[i].lang for i in first)
     assert all(len(private[i].text) == private[i].n_chars for i in private if private[i].text != first[i].text)
