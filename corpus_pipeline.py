@@ -17,33 +17,41 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that operator 10 does not predict toxic."""
+    """Documents that operator 10 does not predict toxic.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty table stays empty, columns beyond those of
+    documents are left out: so in all stages.
+    """
     prepare(spark)
-    return toxicity.keep_clean(docs, labels(spark, sf_dir)).select(*COLUMNS)
+    return toxicity.keep_clean(docs.select(*COLUMNS), labels(spark, sf_dir))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass operator 6's base rules and trees."""
+    """Documents that pass operator 6's base rules and trees; null, empty and blank texts fail them and go."""
     prepare(spark)
-    return quality.keep_good(docs, labels(spark, sf_dir)).select(*COLUMNS)
+    return quality.keep_good(docs.select(*COLUMNS), labels(spark, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each of operator 1's groups."""
+    """The first document of each of operator 1's groups, of texts that share four fifths of their shingles.
+
+    Of rows with equal doc_id one stays; texts without words, and rows without a doc_id, have no group and stay.
+    """
     prepare(spark)
-    return minhash_dedup.keep_first(docs).select(*COLUMNS)
+    return minhash_dedup.keep_first(docs.select(*COLUMNS))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with operator 8's surrogates in their texts; n_chars follows where a text changed."""
+    """All documents, with operator 8's surrogates in their texts; n_chars follows where a text changed. A null stays."""
+    docs = docs.select(*COLUMNS)
     key = surrogates.distinct_key(docs, surrogates.session_key(spark))
-    done = surrogates.replace_entities(docs.select(*COLUMNS), key, count_col="n_entities")
+    done = surrogates.replace_entities(docs, key, count_col="n_entities")
     n_chars = F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5's sequences of all documents that are left."""
+    """Operator 5's sequences of all documents that are left; a null text is a document of the end id alone."""
     prepare(spark)
     return bin_completion.pack(docs, BYTE_BPE, SEQUENCE)
 
