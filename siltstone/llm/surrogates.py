@@ -14,8 +14,8 @@ A person is a title and names. Each name has a surrogate of its own, whatever st
 "Mr. John Smith" share a surname, and a full name that a title introduces is replaced in its text without the title
 too. Common names move within a list of their script and gender, others letter by letter.
 
-That no two entities share a surrogate, and that none is an entity of the table itself, is also checked over the whole
-table (``collisions``), and a key that collides anyway is changed.
+That no two entities share a surrogate is also checked over the whole table (``collisions``), and a key that collides
+anyway is changed; surrogates that are entities of the table themselves are listed too.
 """
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ def _other_letters() -> tuple[list[tuple[int, int]], list[str]]:
             alphabets[-1] += chr(rest[0])
         elif rest:
             alphabets.append("".join(map(chr, rest)))
-    return runs, alphabets
+    return sorted(runs), alphabets
 
 
 #: Letters of a script and category in a row that move by arithmetic, not by a list of them: ideographs, syllables.
@@ -133,11 +133,12 @@ def _moved_other(c: Column, hashed: Column) -> Column:
         return F.substr(F.lit(_LETTERS), (start + 1 + shifted(at - 1 - start, F.element_at(F.lit(_SIZES), n))).cast("int"), F.lit(1))
 
     at = F.instr(F.lit(_LETTERS), c)
-    out = F.when(at > 0, listed(at)).otherwise(c)
-    for first, size in RUNS:
-        point = F.lit(first) + shifted(F.ascii(c) - first, F.lit(size))
-        out = F.when(F.ascii(c).between(first, first + size - 1), F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(out)
-    return out
+    firsts, sizes = F.array(*[F.lit(first) for first, _ in RUNS]), F.array(*[F.lit(size) for _, size in RUNS])
+    run = F.aggregate(firsts, F.lit(0), lambda n, first: n + (F.ascii(c) >= first).cast("int"))  # runs are in order
+    first, size = F.element_at(firsts, F.greatest(run, F.lit(1))), F.element_at(sizes, F.greatest(run, F.lit(1)))
+    point = first + shifted(F.ascii(c) - first, size)
+    moved = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    return F.when(at > 0, listed(at)).when((run > 0) & (F.ascii(c) < first + size), moved).otherwise(c)
 
 
 def _moved(c: Column, hashed: Column, alphabets: tuple[str, ...]) -> Column:
@@ -336,23 +337,18 @@ def session_key(spark: SparkSession) -> str:
 
 
 def distinct_key(docs: DataFrame, key: str) -> str:
-    """``key``, or the first variant of it under which no surrogate is shared or is an entity of the table itself.
+    """``key``, or the first variant of it under which no two entities of the whole table share a surrogate.
 
-    If every variant makes some entity of the table (small ranges of values, as of addresses, fill up), the one that
-    makes the fewest is taken; entities never share a surrogate. The texts are searched once.
+    The texts are searched once. That a surrogate is an entity of the table too (``real``) does not change the key: where
+    values have a small range, as phone numbers with a fictional exchange, every key makes some, and they tell nothing.
     """
-    entities, best = durable(distinct_entities(docs), "entities"), None
+    entities = durable(distinct_entities(docs), "entities")
     for k in range(ATTEMPTS):
         tried = key if k == 0 else f"{key}#{k}"
-        found = collisions(entities, tried).agg(F.count_if(F.col("entities") > 1).alias("shared"), F.count_if("real").alias("real")).first()
-        if not found.shared and (best is None or found.real < best[0]):
-            best = (found.real, tried)
-        if best and not best[0]:
-            break
-    discard(entities)
-    if best is None:
-        raise ValueError(f"two entities share a surrogate under each of {ATTEMPTS} keys")
-    return best[1]
+        if not collisions(entities, tried).where("entities > 1").head(1):
+            discard(entities)
+            return tried
+    raise ValueError(f"two entities share a surrogate under each of {ATTEMPTS} keys")
 
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:

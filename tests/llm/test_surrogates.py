@@ -80,8 +80,8 @@ def test_a_key_that_collides_is_changed(spark, monkeypatch):
     real = S.surrogate
     monkeypatch.setattr(S, "surrogate", lambda v, key: F.lit("same") if key == KEY else real(v, key))
     assert S.distinct_key(df, KEY) == f"{KEY}#1"
-    monkeypatch.setattr(S, "surrogate", lambda v, key: F.lit("10.0.0.2") if key == KEY else real(v, key))
-    assert S.distinct_key(df.where("false").unionAll(df), KEY) == f"{KEY}#1"  # a surrogate that is an entity itself
+    monkeypatch.setattr(S, "surrogate", lambda v, key: F.when(v == "10.0.0.1", "10.0.0.2").otherwise("new"))
+    assert [tuple(r) for r in S.collisions(S.distinct_entities(df), KEY).collect()] == [("10.0.0.2", 1, True)] and S.distinct_key(df, KEY) == KEY
     monkeypatch.setattr(S, "surrogate", lambda v, key: F.lit("same"))
     with pytest.raises(ValueError, match="surrogate"):
         S.distinct_key(df, KEY)
