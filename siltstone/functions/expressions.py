@@ -9,9 +9,10 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siltstone.plans.config import MEASURE_NAMES
+
 MONEY = "decimal(18,2)"
 TOTAL = "decimal(38,2)"
-_NULL_MARK, _SEPARATOR = "<<NULL>>", "||"
 
 
 def to_date(c: Column) -> Column:
@@ -38,13 +39,15 @@ def text_of(c: Column) -> Column:
 
 
 def fingerprint(columns: list[str]) -> Column:
-    """SHA-256 over values in order, with NULL apart from empty text."""
-    return F.sha2(F.concat_ws(_SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit(_NULL_MARK)) for c in columns]), 256)
+    """A digest of the values in order. Each is led by its length, and NULL by a sign that no length is, so rows that
+    differ anywhere never have the same text."""
+    led = [F.concat(F.length(v).cast("string"), F.lit(":"), v) for v in (F.col(c).cast("string") for c in columns)]
+    return F.unhex(F.sha2(F.concat(*[F.coalesce(v, F.lit("-")) for v in led]), 256))
 
 
-def snapshot(columns: list[str]) -> Column:
-    """The row as JSON text; NULL fields are left out."""
-    return F.to_json(F.struct(*[F.col(c) for c in columns]))
+def snapshot(columns: list[str], instead: dict[str, Column] | None = None) -> Column:
+    """The row as JSON text, some columns by other values; NULL fields are left out."""
+    return F.to_json(F.struct(*[(instead or {}).get(c, F.col(c)).alias(c) for c in columns]))
 
 
 def differs(a: Column, b: Column) -> Column:
@@ -77,17 +80,16 @@ def rule_list(rules: list[tuple[str, dict]]) -> list[tuple[str, str, object]]:
     return [(c, k, r[k]) for c, r in rules for k in RULE_KINDS if k in r and (k != "max_date" or r[k] == "today")]
 
 
-#: Aggregate functions that a rollup may name.
-AGGREGATES = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg, "mean": F.avg, "count_distinct": F.count_distinct, "stddev": F.stddev, "first": F.first, "any_value": F.any_value}
-#: Names of aggregates that are not function_column.
-ALIASES = {("claim_amount", "sum"): "total_claim_amount", ("claim_id", "count"): "claim_count"}
-
-
-def alias_of(column: str, function: str, aliases: dict = ALIASES) -> str:
-    return aliases.get((column, function), f"{function}_{column}")
+def output_name(measure: dict) -> str:
+    """The column of a measure {column, function}: its own ``alias``, the configured name of the pair, or both in a row."""
+    named = {"alias": MEASURE_NAMES.get((measure["column"], measure["function"]))} | measure
+    return named["alias"] or "_".join((measure["function"], measure["column"]))
 
 
-def aggregate(column: str, function: str, aliases: dict = ALIASES) -> Column:
-    if function not in AGGREGATES:
-        raise ValueError(f"unknown aggregate {function!r}; there are {', '.join(AGGREGATES)}")
-    return AGGREGATES[function](F.col(column)).alias(alias_of(column, function, aliases))
+def aggregate(measure: dict) -> Column:
+    """A measure as an aggregate, by any of Spark's aggregate functions; a sum over nothing is 0."""
+    make = getattr(F, measure["function"], None)
+    if make is None or measure["function"].startswith("_") or not callable(make):
+        raise ValueError(f"unknown aggregate {measure['function']!r}")
+    value = make(F.col(measure["column"]))
+    return (F.coalesce(value, F.lit(0)) if measure["function"] == "sum" else value).alias(output_name(measure))

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.expressions import ALIASES, TOTAL, alias_of, differs, fingerprint, rule_list, violation
+from siltstone.functions.expressions import TOTAL, aggregate, differs, fingerprint, output_name, rule_list, violation
 from siltstone.plans.config import BATCH_COLUMNS, OPEN_END, Catalogue, RollupSpec, TableSpec
 
 #: Sample keys that a message shows at most.
@@ -231,21 +231,47 @@ def check_transformation(bronze: DataFrame, silver: DataFrame, spec: TableSpec)
 
 # --- gold against silver ------------------------------------------------------------------------------------------
 
-RECONCILED = {"sum": F.sum, "count": F.count}
+RECONCILED = ("sum", "count")
 TOLERANCE = "0.01"
 
 
-def reconcile_total(gold: DataFrame, source: DataFrame, column: str, function: str, aliases: dict = ALIASES) -> DataFrame:
+def reconcile_total(gold: DataFrame, source: DataFrame, column: str, function: str, alias: str | None = None) -> DataFrame:
     """(measure, gold_total, silver_total, matches): the gold column summed up again, and the aggregate over its source."""
     if function not in RECONCILED:
         raise ValueError(f"aggregate {function!r} cannot be reconciled; {', '.join(RECONCILED)} can")
+    measure = {"column": column, "function": function, "alias": alias or output_name({"column": column, "function": function})}
     total = lambda c: F.coalesce(c.cast(TOTAL), F.lit(0).cast(TOTAL))
-    g = gold.agg(total(F.sum(alias_of(column, function, aliases))).alias("gold_total"))
-    s = source.agg(total(RECONCILED[function](column)).alias("silver_total"))
+    g = gold.agg(total(F.sum(measure["alias"])).alias("gold_total"))
+    s = source.agg(aggregate(measure | {"alias": "total"})).select(total(F.col("total")).alias("silver_total"))
     # one row on either side
     return g.join(F.broadcast(s)).select(F.lit(f"{column}.{function}").alias("measure"), "gold_total", "silver_total", (F.abs(F.col("gold_total") - F.col("silver_total")) < F.lit(TOLERANCE).cast(TOTAL)).alias("matches"))
 
 
+def reconcile_all(gold: dict[str, DataFrame], silver: dict[str, DataFrame], catalogue: Catalogue) -> DataFrame:
+    """(gold_table, measure, gold_total, silver_total, matches): every rollup that is there, a row for each measure.
+
+    A passed-through table is compared by its number of rows.
+    """
+    frames = []
+    for r in catalogue.rollups:
+        name = r.gold_table.rsplit(".", 1)[-1]
+        if name not in gold:
+            continue
+        if r.aggregation_type == "passthrough":
+            spec = catalogue.table(r.source_tables[0].rsplit(".", 1)[-1])
+            rows = silver[spec.table_name].where(F.col(spec.validity[2])) if spec.versioned else silver[spec.table_name]
+            count = lambda df, n: df.agg(F.count(F.lit(1)).cast(TOTAL).alias(n))
+            both = count(gold[name], "gold_total").join(F.broadcast(count(rows, "silver_total")))  # one row each
+            frames.append((name, both.select(F.lit("rows").alias("measure"), "gold_total", "silver_total", (F.col("gold_total") == F.col("silver_total")).alias("matches"))))
+        else:
+            for m in r.aggregate_columns:
+                frames.append((name, reconcile_total(gold[name], silver[source_of(r, m["column"], catalogue)], m["column"], m["function"], m.get("alias"))))
+    out = [df.select(F.lit(n).alias("gold_table"), "*") for n, df in frames]
+    for df in out[1:]:
+        out[0] = out[0].unionByName(df)
+    return out[0]
+
+
 def source_of(rollup: RollupSpec, column: str, catalogue: Catalogue) -> str:
     """The source table that declares the column; the only one, if there is only one."""
     names = [t.rsplit(".", 1)[-1] for t in rollup.source_tables]
@@ -268,7 +294,7 @@ def check_reconciliation(gold: DataFrame, rollup: RollupSpec, silver: dict[str,
     elif rollup.aggregation_type in ("join_aggregate", "group_aggregate"):
         for a in rollup.aggregate_columns:
             column, function = a["column"], a["function"]
-            r = _row(reconcile_total(gold, silver[source_of(rollup, column, catalogue)], column, function))
+            r = _row(reconcile_total(gold, silver[source_of(rollup, column, catalogue)], column, function, a.get("alias")))
             details[r["measure"]] = {"gold_total": r["gold_total"], "silver_total": r["silver_total"]}
             if not r["matches"]:
                 issues.append(f"Aggregate mismatch on {column} ({function}): gold total = {r['gold_total']}, silver total = {r['silver_total']}")

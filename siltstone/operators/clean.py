@@ -13,13 +13,19 @@ from siltstone.functions.expressions import any_of, bad_date, fingerprint, snaps
 from siltstone.plans.config import TableSpec
 
 BAD_DATE, BAD_NUMBER, ORPHAN, DUPLICATE = "invalid_date_format", "invalid_number_format", "orphan_foreign_key", "duplicate_primary_key"
-REASON, DETAIL, ORIGINAL, ROW = "__reason", "__detail", "__original", "__row"
-_INNER = (REASON, DETAIL, ORIGINAL, ROW)
+REASON, DETAIL, ROW = "__reason", "__detail", "__row"
+#: Before the name of a column: its text as it came, where a cast has changed it.
+CAME = "__came_"
 
 
 def tag(bronze: DataFrame) -> DataFrame:
-    """Bronze rows with their JSON as they came, and a number that tells equal rows apart; no reason yet."""
-    return bronze.withColumns({ORIGINAL: snapshot(bronze.columns), ROW: F.monotonically_increasing_id(), REASON: F.lit(None).cast("string"), DETAIL: F.lit(None).cast("string")})
+    """Bronze rows with a number that tells equal rows apart; no reason yet."""
+    return bronze.withColumns({ROW: F.monotonically_increasing_id(), REASON: F.lit(None).cast("string"), DETAIL: F.lit(None).cast("string")})
+
+
+def _own(df: DataFrame) -> list[str]:
+    """The columns that bronze had."""
+    return [c for c in df.columns if c not in (REASON, DETAIL, ROW) and not c.startswith(CAME)]
 
 
 def _reject(df: DataFrame, failed: Column, reason: str, detail: Column) -> DataFrame:
@@ -37,11 +43,14 @@ def cast(df: DataFrame, spec: TableSpec, reject_numbers: bool = False) -> DataFr
     if reject_numbers and money:
         bad = {c: F.col(c).isNotNull() & (F.trim(c) != "") & to_money(F.col(c)).isNull() for c in money}
         df = _reject(df, any_of(list(bad.values())), BAD_NUMBER, F.concat_ws("; ", *[F.when(b, F.concat(F.lit(f"{c}="), text_of(F.col(c)))) for c, b in bad.items()]))
-    return df.withColumns({**{c: to_date(F.col(c)) for c in dates}, **{c: to_money(F.col(c)) for c in money}})
+    return df.withColumns({**{CAME + c: F.col(c) for c in (*dates, *money)}, **{c: to_date(F.col(c)) for c in dates}, **{c: to_money(F.col(c)) for c in money}})
 
 
 def check_parents(df: DataFrame, spec: TableSpec, silver: dict[str, DataFrame]) -> DataFrame:
-    """Each foreign key must be in its parent's silver table, any version; a NULL one is an orphan. Keys in declared order."""
+    """Each foreign key must be in its parent's silver table, any version; a NULL one is an orphan. Keys in declared order.
+
+    The parent's clean rows do as well, as they have the same keys.
+    """
     for column, parent, key in spec.parents():
         if parent not in silver:
             raise RuntimeError(f"table '{spec.table_name}': parent '{parent}' of foreign key '{column}' is not available")
@@ -81,14 +90,16 @@ def clean(bronze: DataFrame, spec: TableSpec, silver: dict[str, DataFrame], exis
 
 
 def passed(tagged: DataFrame) -> DataFrame:
-    return tagged.where(F.col(REASON).isNull()).drop(*_INNER)
+    return tagged.where(F.col(REASON).isNull()).select(*[F.col(f"`{c}`") for c in _own(tagged)])
 
 
 def rejects(tagged: DataFrame, spec: TableSpec, rejected_at=None) -> DataFrame:
     """(source_table, reject_reason, reject_detail, original_row_data, rejected_at)."""
     at = F.current_timestamp() if rejected_at is None else F.lit(rejected_at).cast("timestamp")
+    # only rejected rows become JSON, with the texts that casts have changed
+    original = snapshot(_own(tagged), {c: F.col(CAME + c) for c in _own(tagged) if CAME + c in tagged.columns})
     return tagged.where(F.col(REASON).isNotNull()).select(
-        F.lit(spec.table_name).alias("source_table"), F.col(REASON).alias("reject_reason"), F.col(DETAIL).alias("reject_detail"), F.col(ORIGINAL).alias("original_row_data"), at.alias("rejected_at")
+        F.lit(spec.table_name).alias("source_table"), F.col(REASON).alias("reject_reason"), F.col(DETAIL).alias("reject_detail"), original.alias("original_row_data"), at.alias("rejected_at")
     )
 
 

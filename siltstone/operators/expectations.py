@@ -125,16 +125,17 @@ def verify(df: DataFrame, spec: TableSpec, checked_at=None) -> DataFrame:
 CATEGORY_VALUES = 10
 
 
-def profile(df: DataFrame) -> DataFrame:
+def profile(df: DataFrame, exact: bool = False) -> DataFrame:
     """(column_name, data_type, n_rows, n_null, n_distinct, non_negative), a row for each column, in one pass.
 
-    Distinct values are estimated, as exact counts would shuffle every column.
+    Distinct values are estimated, as exact counts shuffle every column; ``exact`` counts them all the same.
     """
+    distinct = F.count_distinct if exact else F.approx_count_distinct
     kinds = [(i, n, t) for i, (n, t) in enumerate(df.dtypes) if not t.startswith(("array", "map", "struct"))]
     number = lambda t: t.startswith(("decimal", "int", "bigint", "double", "float", "smallint", "tinyint"))
     aggregates = [F.count(F.lit(1)).alias("__all")]
     for i, n, t in kinds:
-        aggregates += [_n(F.col(f"`{n}`").isNull(), f"__null{i}"), F.approx_count_distinct(F.col(f"`{n}`")).alias(f"__distinct{i}"), (_n(F.col(f"`{n}`") < 0, f"__neg{i}") if number(t) else F.lit(-1).cast("long").alias(f"__neg{i}"))]
+        aggregates += [_n(F.col(f"`{n}`").isNull(), f"__null{i}"), distinct(F.col(f"`{n}`")).alias(f"__distinct{i}"), (_n(F.col(f"`{n}`") < 0, f"__neg{i}") if number(t) else F.lit(-1).cast("long").alias(f"__neg{i}"))]
     stacked = F.array(*[F.struct(F.lit(n).alias("column_name"), F.lit(t).alias("data_type"), F.col("__all").alias("n_rows"), F.col(f"__null{i}").alias("n_null"), F.col(f"__distinct{i}").alias("n_distinct"), (F.col(f"__neg{i}") == 0).alias("non_negative")) for i, n, t in kinds])
     return df.agg(*aggregates).select(F.explode(stacked).alias("e")).select("e.*")
 

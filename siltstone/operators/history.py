@@ -19,14 +19,18 @@ def _order(df: DataFrame) -> list[Column]:
     return [*[F.col(c) for c in first], F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns) if c not in (*first, "_bronze_ingest_timestamp")]))]
 
 
-def versions(df: DataFrame, spec: TableSpec) -> DataFrame:
+def batch_starts(df: DataFrame) -> DataFrame:
+    """(batch_id, __batch_start): the earliest load time of each batch; a row for each, so as small as the list of loads."""
+    return df.groupBy("batch_id").agg(F.min("load_timestamp").alias("__batch_start"))
+
+
+def versions(df: DataFrame, spec: TableSpec, batches: DataFrame | None = None) -> DataFrame:
     """Every row as a version: ``__seq`` orders a key's rows, ``__changed`` says that it differs from the one before.
 
     Batches follow one another by their earliest load time; only tracked columns count. Comparing with the row before
     is the same as comparing with the version then current, as rows without a change equal it in all that is tracked.
     """
-    batches = df.groupBy("batch_id").agg(F.min("load_timestamp").alias("__batch_start"))
-    # a row for each batch, so as small as the list of loads
+    batches = batch_starts(df) if batches is None else batches
     df = df.join(batches, df["batch_id"].eqNullSafe(batches["batch_id"])).drop(batches["batch_id"])
     w = Window.partitionBy(*spec.keys).orderBy("__batch_start", *_order(df.drop("__batch_start")))
     changed = any_of([differs(F.col(c), F.lag(c).over(w)) for c in spec.tracked_columns])
@@ -34,10 +38,10 @@ def versions(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df.withColumn("__seq", seq).withColumn("__changed", (seq == 1) | changed).drop("__batch_start")
 
 
-def versioned(df: DataFrame, spec: TableSpec) -> DataFrame:
+def versioned(df: DataFrame, spec: TableSpec, batches: DataFrame | None = None) -> DataFrame:
     """All versions of each key: start and end date, and which is current. Rows that change nothing tracked vanish."""
     start, end, current = spec.validity
-    kept = versions(df, spec).where("__changed")
+    kept = versions(df, spec, batches).where("__changed")
     following = F.lead(to_date(F.col("load_timestamp"))).over(Window.partitionBy(*spec.keys).orderBy("__seq"))
     last = F.lead("__seq").over(Window.partitionBy(*spec.keys).orderBy("__seq")).isNull()
     return kept.withColumns({start: to_date(F.col("load_timestamp")), end: F.when(last, F.lit(OPEN_END).cast("date")).otherwise(following), current: last}).drop("__seq", "__changed")
@@ -49,24 +53,28 @@ def version_breakdown(df: DataFrame, spec: TableSpec) -> DataFrame:
     return v.agg(F.count_if(F.col("__seq") == 1).alias("new_inserts"), F.count_if(F.col("__changed") & (F.col("__seq") > 1)).alias("new_versions"), F.count_if(~F.col("__changed")).alias("unchanged"))
 
 
-def add_versions(table: DataFrame, batch: DataFrame, spec: TableSpec) -> DataFrame:
-    """The table after one more batch: changed keys' current versions end, new and changed rows are appended."""
-    start, end, current = spec.validity
-    now = table.where(F.col(current)).select(*[F.col(c).alias(f"__k_{c}") for c in spec.keys], *[F.col(c).alias(f"__t_{c}") for c in spec.tracked_columns], F.lit(True).alias("__there"))
-    on = [F.col(c) == F.col(f"__k_{c}") for c in spec.keys]
-    changed = F.col("__there").isNull() | any_of([differs(F.col(c), F.col(f"__t_{c}")) for c in spec.tracked_columns])
-    fresh = batch.join(now, on, "left").where(changed).select(*batch.columns)
-    fresh = fresh.withColumns({start: to_date(F.col("load_timestamp")), end: F.lit(OPEN_END).cast("date"), current: F.lit(True)})
-    ending = fresh.groupBy(*[F.col(c).alias(f"__k_{c}") for c in spec.keys]).agg(F.min(start).alias("__ends"))
-    closes = F.col(current) & F.col("__ends").isNotNull()
-    old = table.join(ending, on, "left").withColumns({end: F.when(closes, F.col("__ends")).otherwise(F.col(end)), current: F.col(current) & ~closes}).select(*table.columns)
-    return old.unionByName(fresh, allowMissingColumns=True)
+def add_versions(table: DataFrame, batch: DataFrame, spec: TableSpec, seen: DataFrame) -> DataFrame:
+    """The table after more rows, as if it were built from all of them: ``seen`` holds the clean rows before ``batch``.
+
+    Keys that the batch brings get their versions anew from all their rows, so several rows of a key, and rows that
+    come late, take their places by time; all other keys' versions stay as they are. NULL keys are keys.
+    """
+    rows = seen.unionByName(batch, allowMissingColumns=True)
+    touched = batch.select(*[F.col(c).alias(f"__k_{c}") for c in spec.keys]).distinct()
+    on = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in spec.keys]
+    anew = versioned(rows.join(touched, on, "left_semi"), spec, batch_starts(rows))
+    return table.join(touched, on, "left_anti").unionByName(anew, allowMissingColumns=True)
 
 
 def latest(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """The whole latest row of each key, by an aggregate that combines before its shuffle."""
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.groupBy(*[F.col(c).alias(f"__k_{c}") for c in spec.keys]).agg(F.max_by(row, F.struct(*_order(df))).alias("__row")).select("__row.*")
+    """The whole latest row of each key, by an aggregate that combines before its shuffle.
+
+    The largest of rows led by what orders them is the latest, so each row is there once; equal times fall to the
+    other columns, in order of their names.
+    """
+    led = [c for c in ("load_timestamp", "batch_id", "_source_file") if c in df.columns]
+    row = F.struct(*[F.col(f"`{c}`") for c in (*led, *sorted(c for c in df.columns if c not in led))])
+    return df.groupBy(*[F.col(c).alias(f"__k_{c}") for c in spec.keys]).agg(F.max(row).alias("__row")).select("__row.*").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def upsert(table: DataFrame, batch: DataFrame, spec: TableSpec) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.expressions import ALIASES, TOTAL, aggregate, alias_of
+from siltstone.functions.expressions import TOTAL, aggregate
 from siltstone.plans.config import Catalogue, RollupSpec
 
 
@@ -13,12 +13,6 @@ def current_rows(df: DataFrame, current: str = "is_current") -> DataFrame:
     return df.where(F.col(current))
 
 
-def fill_sums(df: DataFrame, aggregates: list[dict], aliases: dict = ALIASES) -> DataFrame:
-    """A group without rows on the other side of a left join has the sum 0."""
-    sums = [alias_of(a["column"], a["function"], aliases) for a in aggregates if a["function"] == "sum"]
-    return df.fillna(0, subset=sums) if sums else df
-
-
 def enriched(parents: DataFrame, children: DataFrame, facts: DataFrame, parent_key: str, child_key: str, fact_key: str, amount: str, names=("policy_count", "claim_count", "total_claim_amount")) -> DataFrame:
     """Each parent with its number of children, of their facts, and the facts' total; zeros where there are none.
 
@@ -30,18 +24,16 @@ def enriched(parents: DataFrame, children: DataFrame, facts: DataFrame, parent_k
     return parents.join(per_parent, parent_key, "left").fillna({n_children: 0, n_facts: 0, total: 0})
 
 
-def summary(left: DataFrame, right: DataFrame, on: str, group: list[str], carried: list[str], aggregates: list[dict], aliases: dict = ALIASES) -> DataFrame:
+def summary(left: DataFrame, right: DataFrame, on: str, group: list[str], carried: list[str], measures: list[dict]) -> DataFrame:
     """Left rows joined with right ones, grouped; ``carried`` columns depend on the group, so any value will do."""
-    needed = {on, *(a["column"] for a in aggregates)}
+    needed = {on, *(m["column"] for m in measures)}
     joined = left.select(*dict.fromkeys([on, *group, *carried])).join(right.select(*[c for c in right.columns if c in needed]), on, "left")
-    out = joined.groupBy(*group).agg(*[F.max(c).alias(c) for c in carried if c not in group], *[aggregate(a["column"], a["function"], aliases) for a in aggregates])
-    return fill_sums(out, aggregates, aliases)
+    return joined.groupBy(*group).agg(*[F.max(c).alias(c) for c in carried if c not in group], *map(aggregate, measures))
 
 
-def monthly(df: DataFrame, date: str, month: str, aggregates: list[dict], aliases: dict = ALIASES) -> DataFrame:
+def monthly(df: DataFrame, date: str, month: str, measures: list[dict]) -> DataFrame:
     """By month as yyyy-MM; rows without a date are a group of their own."""
-    out = df.withColumn(month, F.date_format(date, "yyyy-MM")).groupBy(month).agg(*[aggregate(a["column"], a["function"], aliases) for a in aggregates])
-    return fill_sums(out, aggregates, aliases).orderBy(month)
+    return df.groupBy(F.date_format(date, "yyyy-MM").alias(month)).agg(*map(aggregate, measures)).orderBy(month)
 
 
 def totals(df: DataFrame, columns: list[str]) -> DataFrame:

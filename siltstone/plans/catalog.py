@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +26,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
+class _OnDemand(dict):
+    """Values made when first asked for."""
+
+    def __init__(self, make: Callable[[str], DataFrame]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.make(name)
+        return self[name]
+
+    def __contains__(self, name) -> bool:
+        return name in SPECS
+
+
+SPECS = {t.table_name: t for t in CATALOGUE.tables}
+
+
 class Tables:
-    """Tables of one call. Each is a plan that runs when the query does; ``silver`` and ``tagged`` are written once."""
+    """Tables of one call, each made only if the query asks for it: ``tagged`` rows, ``good`` rows and ``silver`` tables
+    are plans; ``kept`` holds silver tables that are written once, for queries that read them several times."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.tagged = _OnDemand(lambda n: clean.clean(self.bronze(SPECS[n]), SPECS[n], self.parents(n)))
+        self.good = _OnDemand(lambda n: clean.passed(self.tagged[n]))
+        self.silver = _OnDemand(lambda n: history.silver(self.good[n], SPECS[n]))
+        self.kept = _OnDemand(lambda n: written(self.silver[n], f"silver-{n}"))
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -42,39 +64,19 @@ class Tables:
     def made(self, text: str) -> DataFrame:
         return bronze(self.spark, self.sf_dir, text)
 
-    @property
-    def customers(self) -> DataFrame:
-        return history.silver(clean.passed(clean.clean(self.bronze(CUSTOMERS), CUSTOMERS, {})), CUSTOMERS)
+    def parents(self, name: str) -> dict[str, DataFrame]:
+        """Clean rows of the parents: their keys are those of the silver tables, without a history made for them."""
+        if name == "orders":
+            return {"customers": self.known(self.good["customers"])}
+        return {"orders": self.good["orders"]} if name == "lines" else {}
 
     @staticmethod
     def known(customers: DataFrame) -> DataFrame:
         """Customers without every seventh, so some orders have lost theirs."""
         return customers.where(F.col("customer_id").cast("long") % 7 != 0)
 
-    @property
-    def known_customers(self) -> DataFrame:
-        return self.known(self.customers)
-
-    @property
-    def orders(self) -> DataFrame:
-        return history.silver(clean.passed(clean.clean(self.bronze(ORDERS), ORDERS, {"customers": self.known_customers})), ORDERS)
-
-    @cached_property
-    def tagged(self) -> dict[str, DataFrame]:
-        """Tagged rows of each table; the parents' silver tables come from the written ones."""
-        out = {"customers": written(clean.clean(self.bronze(CUSTOMERS), CUSTOMERS, {}), "tagged-customers")}
-        customers = self.known(history.silver(clean.passed(out["customers"]), CUSTOMERS))
-        out["orders"] = written(clean.clean(self.bronze(ORDERS), ORDERS, {"customers": customers}), "tagged-orders")
-        orders = history.silver(clean.passed(out["orders"]), ORDERS)
-        out["lines"] = written(clean.clean(self.bronze(LINES), LINES, {"orders": orders}), "tagged-lines")
-        return out
-
-    @cached_property
-    def silver(self) -> dict[str, DataFrame]:
-        return {s.table_name: written(history.silver(clean.passed(self.tagged[s.table_name]), s), f"silver-{s.table_name}") for s in CATALOGUE.tables}
-
     def rejects(self, tagged: DataFrame, spec) -> DataFrame:
-        return clean.rejects(tagged, spec, INGESTED_AT).select("source_table", "reject_reason", "reject_detail")
+        return clean.rejects(tagged.drop(AT), spec, INGESTED_AT).withColumn("rejected_at", F.col("rejected_at").cast("string"))
 
 
 # --- bronze -------------------------------------------------------------------------------------------------------
@@ -86,7 +88,7 @@ def bronze_align_union(spark, sf_dir):
     lines = Tables(spark, sf_dir).bronze(LINES).drop(AT, "_source_file")
     key = F.col("order_id").cast("long")
     a = lines.where(key % 3 == 0)
-    b = lines.where(key % 3 == 1).withColumnRenamed("return_flag", "note")
+    b = lines.where(key % 3 != 0).withColumnRenamed("return_flag", "note")
     return landing.union_all([landing.with_provenance(landing.align(df, LINES.headers, f)[0], f, INGESTED_AT) for df, f in ((a, "a.csv"), (b, "b.csv"))]).drop(AT)
 
 
@@ -121,14 +123,14 @@ def cast_number_quarantine(spark, sf_dir):
 @query
 def fk_clean(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    tagged = clean.check_parents(clean.cast(clean.tag(t.bronze(ORDERS)), ORDERS), ORDERS, {"customers": t.known_customers})
+    tagged = clean.check_parents(clean.cast(clean.tag(t.bronze(ORDERS)), ORDERS), ORDERS, {"customers": t.known(t.good["customers"])})
     return clean.passed(tagged).drop(AT)
 
 
 @query
 def fk_rejects(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return t.rejects(clean.check_parents(clean.cast(clean.tag(t.bronze(ORDERS)), ORDERS), ORDERS, {"customers": t.known_customers}), ORDERS)
+    return t.rejects(clean.check_parents(clean.cast(clean.tag(t.bronze(ORDERS)), ORDERS), ORDERS, {"customers": t.known(t.good["customers"])}), ORDERS)
 
 
 @query
@@ -163,12 +165,12 @@ def reject_counts(spark, sf_dir):
 
 @query
 def scd2_history(spark, sf_dir):
-    return Tables(spark, sf_dir).customers.drop(AT)
+    return Tables(spark, sf_dir).silver["customers"].drop(AT)
 
 
 @query
 def scd2_current(spark, sf_dir):
-    return rollup.current_rows(Tables(spark, sf_dir).customers).drop(AT)
+    return rollup.current_rows(Tables(spark, sf_dir).silver["customers"]).drop(AT)
 
 
 @query
@@ -179,27 +181,29 @@ def scd2_breakdown(spark, sf_dir):
 
 @query
 def scd2_add_batch(spark, sf_dir):
+    """A batch with several rows of a key, and rows that come late."""
     t = Tables(spark, sf_dir)
-    return history.add_versions(t.customers, clean.passed(clean.cast(clean.tag(t.made(NEW_CUSTOMERS)), CUSTOMERS)), CUSTOMERS).drop(AT)
+    batch = clean.passed(clean.cast(clean.tag(t.made(NEW_CUSTOMERS)), CUSTOMERS))
+    return history.add_versions(t.silver["customers"], batch, CUSTOMERS, t.good["customers"]).drop(AT)
 
 
 @query
 def scd1_latest(spark, sf_dir):
-    return Tables(spark, sf_dir).orders.drop(AT)
+    return Tables(spark, sf_dir).silver["orders"].drop(AT)
 
 
 @query
 def scd1_merge(spark, sf_dir):
-    """Every third order is new to the table; the others take the tracked columns alone."""
+    """A third of the batch's orders are new to the table; the others take the tracked columns alone."""
     t = Tables(spark, sf_dir)
-    table = t.orders.where(F.col("order_id").cast("long") % 3 != 0)
+    table = t.silver["orders"].where(F.col("order_id").cast("long") % 48 != 0)
     return history.upsert(table, clean.passed(clean.cast(clean.tag(t.made(NEW_ORDERS)), ORDERS)), ORDERS).drop(AT)
 
 
 @query
 def none_append(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    table = history.silver(clean.passed(t.tagged["lines"]), LINES).where(F.col("order_id").cast("long") % 50 != 0)
+    table = written(t.silver["lines"].where(F.col("order_id").cast("long") % 50 != 0), "silver-lines")
     tagged = clean.check_duplicates(clean.cast(clean.tag(t.made(NEW_LINES).withColumn("note", F.lit("drift"))), LINES), LINES, table)
     return history.appended(clean.passed(tagged), LINES, table).drop(AT)
 
@@ -253,7 +257,7 @@ def gold_probe(spark, sf_dir):
 @query
 def check_schema(spark, sf_dir):
     """Problems of a silver table with a drifted column, one missing, and one of the wrong type."""
-    df = Tables(spark, sf_dir).orders.withColumn("note", F.lit("")).drop("status").withColumn("order_date", F.col("order_date").cast("string"))
+    df = Tables(spark, sf_dir).silver["orders"].withColumn("note", F.lit("")).drop("status").withColumn("order_date", F.col("order_date").cast("string"))
     return spark.createDataFrame(checks.schema_problems(df, ORDERS), "column_name string, problem string")
 
 
@@ -267,18 +271,18 @@ def check_file_format(spark, sf_dir):
 
 @query
 def check_completeness(spark, sf_dir):
-    return checks.null_counts(Tables(spark, sf_dir).customers, CUSTOMERS.mandatory_columns)
+    return checks.null_counts(Tables(spark, sf_dir).silver["customers"], CUSTOMERS.mandatory_columns)
 
 
 @query
 def check_uniqueness(spark, sf_dir):
     """Keys of the append-only table that several rows have, and in how many rows."""
-    return checks.duplicate_keys(clean.passed(Tables(spark, sf_dir).tagged["lines"]), LINES).agg(F.count(F.lit(1)).alias("duplicate_key_count"), F.sum("n_rows").alias("n_rows"))
+    return checks.duplicate_keys(Tables(spark, sf_dir).good["lines"], LINES).agg(F.count(F.lit(1)).alias("duplicate_key_count"), F.sum("n_rows").alias("n_rows"))
 
 
 @query
 def check_uniqueness_keys(spark, sf_dir):
-    return checks.duplicate_keys(clean.passed(Tables(spark, sf_dir).tagged["lines"]), LINES)
+    return checks.duplicate_keys(Tables(spark, sf_dir).good["lines"], LINES)
 
 
 @query
@@ -314,7 +318,7 @@ def check_dates(spark, sf_dir):
 @query
 def check_scd(spark, sf_dir):
     """Versions with three kinds of damage."""
-    df = Tables(spark, sf_dir).customers
+    df = Tables(spark, sf_dir).silver["customers"]
     key = F.col("customer_id").cast("long")
     df = df.withColumn("effective_end_date", F.when((key % 23 == 0) & F.col("is_current"), F.lit("2030-01-01").cast("date")).otherwise(F.col("effective_end_date"))).withColumn("is_current", F.col("is_current") & (key % 29 != 0))
     return checks.version_problems(df, CUSTOMERS)
@@ -322,11 +326,11 @@ def check_scd(spark, sf_dir):
 
 @query
 def check_reconcile(spark, sf_dir):
-    """One rollup that agrees with its source, one that has lost groups."""
-    s = Tables(spark, sf_dir).silver
-    gold = rollup.build(CATALOGUE.rollups[2], s, CATALOGUE)
-    less = gold.where("ship_month <> '1995-03'")
-    frames = [checks.reconcile_total(g, s["lines"], c, f).withColumn("gold_table", F.lit(n)) for n, g in (("whole", gold), ("partial", less)) for c, f in (("price", "sum"), ("line_number", "count"))]
+    """Every rollup against its sources, and one that has lost groups."""
+    t = Tables(spark, sf_dir)
+    gold = {r.gold_table.rsplit(".", 1)[-1]: rollup.build(r, t.kept, CATALOGUE) for r in CATALOGUE.rollups}
+    less = {"monthly_trend": gold["monthly_trend"].where("ship_month <> '1995-03'")}
+    frames = [checks.reconcile_all(g, t.kept, CATALOGUE).withColumn("state", F.lit(n)) for n, g in (("whole", gold), ("partial", less))]
     return landing.union_all(frames)
 
 
@@ -334,44 +338,47 @@ def check_reconcile(spark, sf_dir):
 def check_transformation(spark, sf_dir):
     """Silver orders, some of them changed behind bronze's back."""
     t = Tables(spark, sf_dir)
-    changed = t.orders.withColumn("total", F.when(F.col("order_id").cast("long") % 17 == 0, F.col("total") + 1).otherwise(F.col("total")))
+    changed = t.silver["orders"].withColumn("total", F.when(F.col("order_id").cast("long") % 17 == 0, F.col("total") + 1).otherwise(F.col("total")))
     return checks.transformation_mismatches(clean.cast(clean.tag(t.bronze(ORDERS)), ORDERS), changed, ORDERS)
 
 
 @query
 def expectations_suite(spark, sf_dir):
-    return expectations.expectation_counts(Tables(spark, sf_dir).orders, ORDERS, AS_OF)
+    return expectations.expectation_counts(Tables(spark, sf_dir).silver["orders"], ORDERS, AS_OF)
 
 
 @query
 def expectations_current(spark, sf_dir):
     """The suite of a table with versions looks at current rows."""
-    return expectations.expectation_counts(Tables(spark, sf_dir).customers, CUSTOMERS, AS_OF)
+    return expectations.expectation_counts(Tables(spark, sf_dir).silver["customers"], CUSTOMERS, AS_OF)
 
 
 @query
 def verification_suite(spark, sf_dir):
-    s = Tables(spark, sf_dir).silver
+    s = Tables(spark, sf_dir).kept
     return landing.union_all([expectations.verify(s[t.table_name], t, INGESTED_AT).select("table_name", "constraint", "status") for t in CATALOGUE.tables])
 
 
 @query
 def constraint_suggestions(spark, sf_dir):
+    """All columns of the tables that the silver ones are made from, with distinct values counted exactly."""
     t = Tables(spark, sf_dir)
-    frames = [("nation", t.read("nation")), ("customer", t.read("customer").select("c_mktsegment", "c_nationkey"))]
-    return landing.union_all([expectations.suggestions(expectations.profile(df)).withColumn("table_name", F.lit(n)) for n, df in frames])
+    return landing.union_all([expectations.suggestions(expectations.profile(t.read(n), exact=True)).withColumn("table_name", F.lit(n)) for n in ("nation", "customer", "orders")])
 
 
 @query
 def row_conservation(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return landing.union_all([checks.conservation(t.bronze(s), t.silver[s.table_name], clean.rejects(t.tagged[s.table_name], s), s) for s in CATALOGUE.tables])
+    t, frames = Tables(spark, sf_dir), []
+    for s in CATALOGUE.tables:
+        tagged = t.tagged[s.table_name] = written(t.tagged[s.table_name], f"tagged-{s.table_name}")
+        frames.append(checks.conservation(t.bronze(s), t.silver[s.table_name], clean.rejects(tagged, s), s))
+    return landing.union_all(frames)
 
 
 @query
 def validation_report(spark, sf_dir):
     """One row a check for all tables: the verdicts, with the number of issues."""
-    s = Tables(spark, sf_dir).silver
+    s = Tables(spark, sf_dir).kept
     results = []
     for t in CATALOGUE.tables:
         df = s[t.table_name]

@@ -126,6 +126,8 @@ class Catalogue:
         raise ConfigError(f"no table {name!r}; there are {', '.join(t.table_name for t in self.tables)}")
 
 
+#: Names of measures (column, function) that name none themselves.
+MEASURE_NAMES = {("claim_amount", "sum"): "total_claim_amount", ("claim_id", "count"): "claim_count"}
 #: Date relationships of tables that declare none.
 DATE_RELATIONSHIPS = {("claims", "policy_id"): {"column": "claim_date", "parent_column": "policy_start_date", "foreign_key": "policy_id"}}
 

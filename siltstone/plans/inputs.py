@@ -54,7 +54,12 @@ BRONZE = {
         {"batch": "batch_002", "at": "2024-02-05", "where": "l_orderkey % 40 = 0"},
     ),
 }
-NEW_CUSTOMERS = _union(_CUSTOMER, {"segment": "'LATE'", "more": 0, "batch": "batch_004", "at": "2024-04-01", "where": "c_custkey % 12 = 0"})
+NEW_CUSTOMERS = _union(
+    _CUSTOMER,
+    {"segment": "'NEW'", "more": 0, "batch": "batch_004", "at": "2024-04-01", "where": "c_custkey % 12 = 0"},
+    {"segment": "'NEWER'", "more": 0, "batch": "batch_004", "at": "2024-04-02", "where": "c_custkey % 24 = 0"},
+    {"segment": "'LATE'", "more": 0, "batch": "batch_000", "at": "2023-12-01", "where": "c_custkey % 36 = 0"},
+)
 NEW_ORDERS = _union(_ORDER, {"status": "'Y'", "more": 25, "batch": "batch_004", "at": "2024-04-01", "where": "o_orderkey % 16 = 0"})
 NEW_LINES = _union(_LINE, {"batch": "batch_003", "at": "2024-03-05", "where": "l_orderkey % 25 = 0"})
 

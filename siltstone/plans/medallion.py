@@ -37,40 +37,80 @@ class Run:
 
 
 def to_bronze(run: Run, folder: str, spec: TableSpec, ingested_at=None) -> None:
-    got = landing.ingest(run.store.spark, folder, spec, ingested_at)
+    """Files that bronze does not have yet are added to it."""
+    name, store = f"bronze.{spec.table_name}", run.store
+    known = {r[0] for r in store.table(name).select("_source_file").distinct().collect()} if store.exists(name) else set()
+    got = landing.ingest(store.spark, folder, spec, ingested_at, known)
     run.warnings[spec.table_name] = got.warnings
-    run.headers[spec.table_name] = landing.header_union(run.store.spark, folder, spec)
+    run.headers[spec.table_name] = landing.header_union(store.spark, folder, spec)
     if got.files:
-        df = run.store.overwrite(f"bronze.{spec.table_name}", got.bronze)
-        run.counts.setdefault(spec.table_name, {}).update(files=len(got.files), bronze=df.count())
-
-
-def to_silver(run: Run, spec: TableSpec, catalogue: Catalogue, rejected_at=None) -> DataFrame:
-    """The silver table, rebuilt; returns the rejects. The tagged rows are written once and both read them."""
-    bronze = run.store.table(f"bronze.{spec.table_name}")
-    tagged = run.store.overwrite(f"stage.{spec.table_name}", clean.clean(bronze, spec, run.silver(catalogue)))
-    good = clean.passed(tagged)
-    table = run.store.overwrite(f"silver.{spec.table_name}", history.silver(good, spec))
+        store.append(name, got.bronze)
+    if store.exists(name):
+        run.counts.setdefault(spec.table_name, {}).update(files=len(known) + len(got.files), new_files=len(got.files), bronze=store.table(name).count())
+
+
+def not_done(run: Run, spec: TableSpec) -> DataFrame:
+    """Bronze rows of the files that silver has not taken in yet; the list of files that it has is written last."""
+    bronze, done = run.store.table(f"bronze.{spec.table_name}"), f"done.{spec.table_name}"
+    return bronze.join(run.store.table(done).distinct(), "_source_file", "left_anti").select(bronze.columns) if run.store.exists(done) else bronze
+
+
+def to_silver(run: Run, spec: TableSpec, catalogue: Catalogue, rejected_at=None) -> None:
+    """New bronze rows, cleaned once, merged into the silver table by the way its history is kept; rejects are added.
+
+    A first run builds the table from all its rows. The tagged rows are written once and all steps read them.
+    """
+    store, name = run.store, spec.table_name
+    for _, parent, _ in spec.parents():
+        failed = run.errors.get(f"silver.{parent}") or run.errors.get(f"bronze.{parent}")
+        if failed:
+            raise RuntimeError(f"table '{name}': its parent '{parent}' failed: {failed}")
+    there = store.table(f"silver.{name}") if store.exists(f"silver.{name}") else None
+    fresh = not_done(run, spec)
+    counts = run.counts.setdefault(name, {})
+    if there is not None and not fresh.head(1):
+        counts.update(silver=there.count(), rejects={})
+        return
+    tagged = store.overwrite(f"stage.{name}", clean.clean(fresh, spec, run.silver(catalogue), there))
+    good, files = clean.passed(tagged), tagged.select("_source_file").distinct()
+    if there is None:
+        table = store.overwrite(f"silver.{name}", history.silver(good, spec))
+    elif spec.scd_type == "SCD2":
+        table = store.overwrite(f"silver.{name}", history.add_versions(there, good, spec, store.table(f"clean.{name}")))
+    elif spec.scd_type == "SCD1":
+        table = store.overwrite(f"silver.{name}", history.upsert(there, good, spec))
+    else:
+        table = store.append(f"silver.{name}", history.conformed(good, spec))
+    if spec.versioned:
+        store.append(f"clean.{name}", good)
+        counts.update(history.version_breakdown(good, spec).first().asDict())
     rejected = clean.rejects(tagged, spec, rejected_at)
     reasons = {r.reject_reason: r.n_rows for r in clean.reject_counts(rejected).collect()}
-    counts = run.counts.setdefault(spec.table_name, {})
+    if reasons or not store.exists(REJECTS):
+        store.append(REJECTS, rejected)
     counts.update(silver=table.count(), rejects=reasons)
-    if spec.versioned:
-        counts.update(history.version_breakdown(good, spec).first().asDict())
-    return rejected
+    store.append(f"done.{name}", files)
+
+
+def to_gold(run: Run, rollup_spec, catalogue: Catalogue) -> None:
+    """The rollup, rebuilt from silver; its rows and the totals of its numbers are counted."""
+    name = f"gold.{rollup_spec.gold_table.rsplit('.', 1)[-1]}"
+    table = run.store.overwrite(name, rollup.build(rollup_spec, run.silver(catalogue), catalogue))
+    numbers = [c for c, t in table.dtypes if t.startswith(("decimal", "bigint", "double"))]
+    totals = rollup.totals(table, numbers).first().asDict() if numbers else {}
+    run.counts[name] = {"rows": table.count(), **totals}
 
 
 def execute(spark: SparkSession, catalogue: Catalogue, landing_root: str, root: str, at=None) -> Run:
-    """Bronze, silver in sequence order, rejects, gold. A run can be repeated: every table is rebuilt."""
-    run, rejected = Run(Store(spark, root)), []
+    """Bronze, silver in sequence order, rejects, gold. Only files that are new are read and merged; a run that is
+    repeated changes nothing, and one that failed goes on where it stopped."""
+    run = Run(Store(spark, root))
     for spec in catalogue.tables:
         run._each(f"bronze.{spec.table_name}", lambda: to_bronze(run, f"{landing_root}/{spec.volume_folder or spec.table_name}", spec, at))
     for spec in catalogue.tables:
-        run._each(f"silver.{spec.table_name}", lambda: rejected.append(to_silver(run, spec, catalogue, at)))
-    if rejected:
-        run.store.overwrite(REJECTS, landing.union_all(rejected))
+        run._each(f"silver.{spec.table_name}", lambda: to_silver(run, spec, catalogue, at))
     for r in catalogue.rollups:
-        run._each(r.gold_table, lambda: run.store.overwrite(f"gold.{r.gold_table.rsplit('.', 1)[-1]}", rollup.build(r, run.silver(catalogue), catalogue)))
+        run._each(r.gold_table, lambda: to_gold(run, r, catalogue))
     return run
 
 

@@ -54,12 +54,13 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def ingest(spark: SparkSession, folder: str, spec: TableSpec, ingested_at=None) -> Landed:
-    """The bronze table of a folder. Without files, no rows of the declared columns, and a warning."""
-    files = csv_files(spark, folder)
+def ingest(spark: SparkSession, folder: str, spec: TableSpec, ingested_at=None, known: set[str] = frozenset()) -> Landed:
+    """The bronze rows of a folder's files but the ``known`` ones. Without files, no rows of the declared columns, and a warning."""
+    there = csv_files(spark, folder)
+    files = [p for p in there if p.rsplit("/", 1)[-1] not in known]
     if not files:
         kinds = [f"`{c}` {'timestamp' if c == '_bronze_ingest_timestamp' else 'string'}" for c in (*spec.headers, *METADATA_COLUMNS)]
-        return Landed(spark.createDataFrame([], ", ".join(kinds)), [], [f"no CSV files found in {folder}"])
+        return Landed(spark.createDataFrame([], ", ".join(kinds)), [], [] if there else [f"no CSV files found in {folder}"])
     frames, warnings = [], []
     for path in files:
         name = path.rsplit("/", 1)[-1]

@@ -34,8 +34,10 @@ def keep_versions(stream: DataFrame, store: Store, spec: TableSpec, name: str, c
 
     def merge(batch: DataFrame, _: int) -> None:
         good = clean.passed(clean.check_duplicates(clean.cast(clean.tag(batch), spec), spec))
-        table = history.add_versions(store.table(name), good, spec) if store.exists(name) else history.versioned(good, spec)
+        rows = f"{name}_rows"  # all clean rows so far: late ones take their place among them
+        table = history.add_versions(store.table(name), good, spec, store.table(rows)) if store.exists(name) else history.versioned(good, spec)
         store.overwrite(name, table)
+        store.append(rows, good)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

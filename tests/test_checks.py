@@ -79,7 +79,7 @@ def test_reconciliation(spark):
     rows = spark.sql("select id, cast(x as decimal(18,2)) claim_amount from values ('1', 1.5), ('2', null), ('3', 2.25) v(id, x)")
     catalogue = Catalogue([spec])
     r = RollupSpec("gold.g", ["silver.s"], "group_aggregate", ["id"], [{"column": "claim_amount", "function": "sum"}])
-    gold = rollup.fill_sums(rows.groupBy("id").agg(*[checks.F.sum("claim_amount").alias("total_claim_amount")]), r.aggregate_columns)
+    gold = rows.groupBy("id").agg(*map(rollup.aggregate, r.aggregate_columns))
     assert checks.check_reconciliation(gold, r, {"s": rows}, catalogue).passed
     bad = checks.check_reconciliation(gold.where("id <> '3'"), r, {"s": rows}, catalogue)
     assert bad.issues == ["Aggregate mismatch on claim_amount (sum): gold total = 1.50, silver total = 3.75"]

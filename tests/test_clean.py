@@ -67,3 +67,23 @@ def test_a_missing_parent_and_an_empty_table(spark):
         clean.clean(rows(spark, ("1", "x", None, "1")), SPEC, {})
     empty = tagged(spark, spark.createDataFrame([], BRONZE))
     assert empty.count() == 0 and clean.rejects(empty, SPEC).count() == 0
+
+
+def test_fingerprints_tell_all_rows_apart(spark):
+    from siltstone.functions.expressions import fingerprint
+
+    rows = [("a||b", "c"), ("a", "b||c"), (None, "x"), ("<<NULL>>", "x"), ("-", "x"), ("", None), (None, ""), ("1:a", "b"), ("a1:b", "")]
+    df = spark.createDataFrame(rows, "a string, b string").select(fingerprint(["a", "b"]).alias("f"))
+    assert df.distinct().count() == len(rows)
+
+
+def test_rollups_take_any_aggregate(spark):
+    from siltstone.functions.expressions import aggregate
+
+    df = spark.createDataFrame([(1, 2.0), (3, 4.0)], "claim_amount int, x double")
+    got = df.agg(aggregate({"column": "x", "function": "median"}), aggregate({"column": "claim_amount", "function": "sum"}), aggregate({"column": "x", "function": "avg", "alias": "mean"})).first()
+    assert got.asDict() == {"median_x": 3.0, "total_claim_amount": 4, "mean": 3.0}
+    import pytest
+
+    with pytest.raises(ValueError):
+        aggregate({"column": "x", "function": "no_such"})

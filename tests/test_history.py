@@ -44,14 +44,18 @@ def test_windows_are_the_same_as_a_replay(spark, rows):
     assert n.new_inserts == len({r[0] for r in rows}) and n.new_inserts + n.new_versions == len(got) and sum(n) == len(rows)
 
 
-def test_batches_added_one_by_one_give_the_same(spark):
-    rows = [("x", "p", None, "1", 1), ("x", "p", None, "2", 2), ("y", "q", "q", "1", 2), ("x", "q", None, "3", 3), ("y", None, "q", "1", 4)]
-    table = history.versioned(frame(spark, rows[:1]), SPEC)
-    for day in (2, 3, 4):
-        table = history.add_versions(table, frame(spark, [r for r in rows if r[4] == day]), SPEC)
-    whole = history.versioned(frame(spark, rows), SPEC)
-    key = lambda df: {tuple(r[c] for c in ("id", "a", "b", "u", "effective_start_date", "effective_end_date", "is_current")) for r in df.collect()}
-    assert key(table) == key(whole) and checks.check_versions(table, SPEC).passed
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=histories, parts=st.integers(1, 3), order=st.randoms(use_true_random=False))
+def test_batches_of_any_size_and_order_give_the_same(spark, rows, parts, order):
+    """Several rows of a key at once, and late ones, take their places."""
+    rows = list(rows)
+    order.shuffle(rows)
+    cut = [rows[k::parts] for k in range(parts)]
+    table, seen = history.versioned(frame(spark, cut[0]), SPEC), frame(spark, cut[0])
+    for batch in cut[1:]:
+        table, seen = history.add_versions(table, frame(spark, batch), SPEC, seen), seen.unionByName(frame(spark, batch))
+    key = lambda df: sorted(str([r[c] for c in ("id", "a", "b", "u", "effective_start_date", "effective_end_date", "is_current")]) for r in df.collect())
+    assert key(table) == key(history.versioned(frame(spark, rows), SPEC)) and checks.check_versions(table, SPEC).passed
 
 
 def test_two_rows_of_a_key_in_one_batch(spark):

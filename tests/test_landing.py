@@ -1,3 +1,5 @@
+import pytest
+
 from siltstone.plans.config import TableSpec
 from siltstone.sources import landing
 from siltstone.sources.store import Store, describe, query_columns, run_query
@@ -30,6 +32,11 @@ def test_store(spark, tmp_path):
     store.overwrite("silver.t", first.where("id > 0"))  # reads what it replaces
     assert sorted(r.id for r in store.table("silver.t").collect()) == [1, 2]
     assert store.append("silver.t", spark.range(1)).count() == 3 and store.append("silver.u", spark.range(2)).count() == 2
+    store.clean_up("silver.t", keep=1)
+    assert store.table("silver.t").count() == 3 and len(store._pointers("silver.t")) == 1
+    pointers = store._pointers("silver.t")
+    with pytest.raises(Exception, match="exist"):  # another writer was first
+        store._point("silver.t", ["v"], [f"{int(pointers[-1]) - 1:012d}"])
     store.register("silver.t")
     assert run_query(spark, "select count(*) n from t") == [{"n": 3}] and query_columns(spark, "select id x, 1 y from t") == ["x", "y"]
     assert describe(store.table("silver.t")) == [{"col_name": "id", "data_type": "bigint"}]

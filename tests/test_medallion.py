@@ -74,12 +74,44 @@ def run(spark, tmp_path_factory):
 def test_counts(run):
     run, _ = run
     assert run.errors == {}
-    assert run.counts["customers"] | {"files": 3} == {"files": 3, "bronze": 2240, "silver": 2230, "rejects": {"duplicate_primary_key": 10}, "new_inserts": 2080, "new_versions": 150, "unchanged": 0}
-    assert run.counts["policies"] == {"files": 3, "bronze": 5460, "silver": 5130, "rejects": {"orphan_foreign_key": 15, "duplicate_primary_key": 15}}
-    assert run.counts["claims"] == {"files": 4, "bronze": 9100, "silver": 9070, "rejects": {"orphan_foreign_key": 20, "duplicate_primary_key": 10}}
+    assert run.counts["customers"] == {"files": 3, "new_files": 3, "bronze": 2240, "silver": 2230, "rejects": {"duplicate_primary_key": 10}, "new_inserts": 2080, "new_versions": 150, "unchanged": 0}
+    assert run.counts["policies"] == {"files": 3, "new_files": 3, "bronze": 5460, "silver": 5130, "rejects": {"orphan_foreign_key": 15, "duplicate_primary_key": 15}}
+    assert run.counts["claims"] == {"files": 4, "new_files": 4, "bronze": 9100, "silver": 9070, "rejects": {"orphan_foreign_key": 20, "duplicate_primary_key": 10}}
     assert run.warnings["claims"] == ["file 'claims_batch4_schema_drift.csv' has unexpected column 'reason_notes' not in expected_headers"]
 
 
+def test_each_rollup_is_counted(run):
+    run, _ = run
+    assert run.counts["gold.customer_360"]["rows"] == 2080 and run.counts["gold.monthly_claims_trend"]["claim_count"] == 9070
+
+
+def test_new_files_are_merged_and_a_run_without_any_changes_nothing(spark, tmp_path, run):
+    _, catalogue = run
+    land, tables = tmp_path / "landing", f"file://{tmp_path}/tables"
+    write(land / "customers/a.csv", [customer(n) for n in range(20)], "b1", "2026-01-01")
+    write(land / "policies/a.csv", [policy(n) for n in range(20)], "b1", "2026-01-01")
+    write(land / "claims/a.csv", [claim(n, policy_id=f"POL{n:05d}") for n in range(10)] + [claim(99, policy_id="GONE")], "b1", "2026-01-01")
+    first = medallion.execute(spark, catalogue, str(land), tables, "2026-05-01")
+    assert first.errors == {} and first.counts["claims"]["rejects"] == {"orphan_foreign_key": 1}
+    write(land / "customers/b.csv", [customer(1, "new"), customer(21)], "b2", "2026-02-01")
+    write(land / "customers/c.csv", [customer(1, "late"), customer(2, "late")], "b0", "2025-12-01")
+    write(land / "policies/b.csv", [policy(3, premium=300), policy(25, c=21)], "b2", "2026-02-01")
+    write(land / "claims/b.csv", [claim(1, policy_id="POL00001", claim_amount="9.00"), claim(30, policy_id="POL00025")], "b2", "2026-02-01")
+    second = medallion.execute(spark, catalogue, str(land), tables, "2026-05-01")
+    assert second.errors == {} and second.counts["customers"]["new_files"] == 2 and second.counts["claims"]["rejects"] == {"duplicate_primary_key": 1}
+    rows = sorted((r.address, str(r.effective_start_date), str(r.effective_end_date), r.is_current) for r in second.store.table("silver.customers").where("customer_id = 'CUST00001'").collect())
+    assert rows == [("1 Road, Town", "2026-01-01", "2026-02-01", False), ("late", "2025-12-01", "2026-01-01", False), ("new", "2026-02-01", "9999-12-31", True)]
+    assert second.store.table("silver.policies").where("policy_id = 'POL00003'").first().premium_amount == 300.5 and second.store.table("silver.policies").count() == 21
+    assert second.store.table("silver.claims").count() == 11
+    reasons = {r.reject_reason: r["count"] for r in second.store.table("silver.rejects").groupBy("reject_reason").count().collect()}
+    assert reasons == {"orphan_foreign_key": 1, "duplicate_primary_key": 1}  # those of the first run are still there
+    whole = medallion.execute(spark, catalogue, str(land), f"file://{tmp_path}/again", "2026-05-01")
+    key = lambda run, n: sorted(map(str, run.store.table(n).drop("_bronze_ingest_timestamp").collect()))
+    assert key(whole, "silver.customers") == key(second, "silver.customers")
+    third = medallion.execute(spark, catalogue, str(land), tables, "2026-05-01")
+    assert third.counts["claims"] == {"files": 2, "new_files": 0, "bronze": 13, "silver": 11, "rejects": {}} and key(third, "silver.claims") == key(second, "silver.claims") and key(third, "silver.rejects") == key(second, "silver.rejects")
+
+
 def test_gold_and_conservation(run):
     run, catalogue = run
     assert run.store.table("gold.customer_360").count() == 2080 and run.store.table("gold.claims_summary_by_policy").count() == 5130
