@@ -78,6 +78,13 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def give_back() -> None:
+    """Return memory that is no longer used to the system: after training, the driver would hold it to the end."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has this call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 _HELD: dict = {}
 
 
@@ -88,9 +95,7 @@ def held(key, make):
     """
     if key not in _HELD:
         _HELD.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # give the memory back; glibc alone has this call
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
         _HELD[key] = make()
     return _HELD[key]
 

@@ -114,43 +114,47 @@ def _other_letters() -> tuple[list[tuple[int, int]], list[str]]:
 #: Letters of a script and category in a row that move by arithmetic, not by a list of them: ideographs, syllables.
 LONG_RUN = 1000
 RUNS, ALPHABETS = _other_letters()
-_LETTERS = "".join(ALPHABETS)
-#: For each of the letters, the number of its alphabet as a character.
-_ALPHABET_OF = "".join(chr(0x100 + n) * len(a) for n, a in enumerate(ALPHABETS))
-_SIZES = [len(a) for a in ALPHABETS]
-_STARTS = [sum(_SIZES[:n]) for n in range(len(_SIZES))]
 
 
-def _moved_other(c: Column, hashed: Column) -> Column:
-    """A letter or number of any script, moved among those of its script and category."""
+class _Table:
+    """Alphabets as literals that one search looks up: all letters, and for each the number of its alphabet as a character."""
 
-    def shifted(at: Column, size: Column) -> Column:
-        return (at + 1 + hashed % (size - 1)) % size
+    def __init__(self, alphabets: tuple[str, ...] | list[str]):
+        self.letters = "".join(alphabets)
+        self.alphabet_of = "".join(chr(0x100 + n) * len(a) for n, a in enumerate(alphabets))
+        self.sizes = [len(a) for a in alphabets]
+        self.starts = [sum(self.sizes[:n]) for n in range(len(alphabets))]
 
-    def listed(at: Column) -> Column:
-        n = F.ascii(F.substr(F.lit(_ALPHABET_OF), at, F.lit(1))) - 0xFF
-        start = F.element_at(F.lit(_STARTS), n)
-        return F.substr(F.lit(_LETTERS), (start + 1 + shifted(at - 1 - start, F.element_at(F.lit(_SIZES), n))).cast("int"), F.lit(1))
 
-    at = F.instr(F.lit(_LETTERS), c)
-    firsts, sizes = F.array(*[F.lit(first) for first, _ in RUNS]), F.array(*[F.lit(size) for _, size in RUNS])
-    run = F.aggregate(firsts, F.lit(0), lambda n, first: n + (F.ascii(c) >= first).cast("int"))  # runs are in order
-    first, size = F.element_at(firsts, F.greatest(run, F.lit(1))), F.element_at(sizes, F.greatest(run, F.lit(1)))
-    point = first + shifted(F.ascii(c) - first, size)
-    moved = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-    return F.when(at > 0, listed(at)).when((run > 0) & (F.ascii(c) < first + size), moved).otherwise(c)
+#: NAME's letters come first, as most are found there.
+_TABLES = {a: _Table([*a, *ALPHABETS] if a is NAME else a) for a in ((_DIGITS,), HEX, ADDRESS, CODE, NAME)}
+
+
+def _shifted(at: Column, size: Column, hashed: Column) -> Column:
+    return (at + 1 + hashed % (size - 1)) % size
 
 
 def _moved(c: Column, hashed: Column, alphabets: tuple[str, ...]) -> Column:
-    out = F.when(F.ascii(c) < 128, c).otherwise(_moved_other(c, hashed)) if alphabets is NAME else c
-    for a in reversed(alphabets):
-        at = F.instr(F.lit(a), c)  # from 1
-        out = F.when(at > 0, F.substr(F.lit(a), ((at + hashed % (len(a) - 1)) % len(a) + 1).cast("int"), F.lit(1))).otherwise(out)
-    return out
+    """A letter or number, moved in its alphabet by one place at least; for NAME, one of any script among those of its
+    script and category. Others stay."""
+    table = _TABLES[alphabets]
+    at = F.instr(F.lit(table.letters), c)
+    n = F.ascii(F.substr(F.lit(table.alphabet_of), at, F.lit(1))) - 0xFF
+    start = F.element_at(F.lit(table.starts), n)
+    out = F.when(at > 0, F.substr(F.lit(table.letters), (start + 1 + _shifted(at - 1 - start, F.element_at(F.lit(table.sizes), n), hashed)).cast("int"), F.lit(1)))
+    if alphabets is not NAME:
+        return out.otherwise(c)
+    firsts, sizes = F.lit([first for first, _ in RUNS]), F.lit([size for _, size in RUNS])
+    run = F.aggregate(firsts, F.lit(0), lambda k, first: k + (F.ascii(c) >= first).cast("int"))  # runs are in order
+    first, size = F.element_at(firsts, F.greatest(run, F.lit(1))), F.element_at(sizes, F.greatest(run, F.lit(1)))
+    point = first + _shifted(F.ascii(c) - first, size, hashed)
+    moved = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    return out.when(F.ascii(c) < 128, c).when((run > 0) & (F.ascii(c) < first + size), moved).otherwise(c)
 
 
-def _hash(key: str, kind: str, before: Column) -> Column:
-    return F.conv(F.substr(F.sha2(F.concat(F.lit(f"{key}|{kind}|"), before), 256), F.lit(1), F.lit(10)), 16, 10).cast("long")
+def _hash(key: str, kind: str | Column, before: Column) -> Column:
+    head = F.lit(f"{key}|{kind}|") if isinstance(kind, str) else F.concat(F.lit(f"{key}|"), kind, F.lit("|"))
+    return F.conv(F.substr(F.sha2(F.concat(head, before), 256), F.lit(1), F.lit(10)), 16, 10).cast("long")
 
 
 def walk(v: Column, key: str, kind: str, alphabets: tuple[str, ...]) -> Column:
@@ -237,14 +241,28 @@ def _secret(v: Column, key: str) -> Column:
     return F.concat(start, F.when(value.rlike("^[0-9a-f]+$"), walk(value, key, "hex", HEX)).otherwise(walk(value, key, "secret", CODE)))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+_ALL_NAMES = [name for names in NAMES for name in names]
+_LIST_OF = [n for n, names in enumerate(NAMES) for _ in names]
+_LIST_SIZES = [len(names) for names in NAMES]
+_LIST_STARTS = [sum(_LIST_SIZES[:n]) for n in range(len(NAMES))]
+
+
 def _name(word: Column, key: str) -> Column:
-    """One name, moved within its list, or letter by letter; what is no name stays."""
-    out = F.when(word.rlike(r"^\p{L}"), walk(word, key, "person", NAME)).otherwise(word)
-    for n, names in enumerate(NAMES):
-        known = F.array(*[F.lit(x) for x in names])
-        at = F.array_position(known, word)  # from 1; all names of a list move by as many places
-        out = F.when(at > 0, F.element_at(known, ((at + _hash(key, f"names{n}", F.lit("")) % (len(names) - 1)) % len(names) + 1).cast("int"))).otherwise(out)
-    return out
+    """One name, moved within its list (all names of a list by as many places), or letter by letter; what is no name stays."""
+
+    def listed(at: Column) -> Column:
+        n = F.element_at(F.lit(_LIST_OF), at)
+        start, size = F.element_at(F.lit(_LIST_STARTS), n + 1), F.element_at(F.lit(_LIST_SIZES), n + 1)
+        shift = _hash(key, F.concat(F.lit("names"), n.cast("string")), F.lit(""))
+        return F.element_at(F.lit(_ALL_NAMES), (start + 1 + _shifted(at - 1 - start, size, shift)).cast("int"))
+
+    at = F.array_position(F.lit(_ALL_NAMES), word).cast("int")
+    return F.when(at > 0, listed(at)).when(word.rlike(r"^\p{L}"), walk(word, key, "person", NAME)).otherwise(word)
 
 
 def _person(v: Column, key: str) -> Column:
@@ -273,10 +291,14 @@ def surrogate(v: Column, key: str) -> Column:
         "email": _email(v, key), "secret": _secret(v, key), "access_key": _keep_head(v, key, "access_key", "^(?:AKIA|ghp_|sk-)", CODE), "hex": walk(v, key, "hex", HEX), "card": F.when(is_card(v), _card(v, key)).otherwise(v),
         "phone": _phone(v, key), "ssn": walk(v, key, "ssn", (_DIGITS,)), "iban": _keep_head(v, key, "iban", "^[A-Z]{2}", CODE), "ip": _ip(v, key), "ip6": walk(v, key, "ip6", ADDRESS), "person": _person(v, key),
     }
-    kind, out = kind_of(v), v
-    for k, column in reversed(by_kind.items()):
-        out = F.when(kind == k, column).otherwise(out)
-    return out
+
+    def of(kind: Column) -> Column:
+        out = v
+        for k, column in reversed(by_kind.items()):
+            out = F.when(kind == k, column).otherwise(out)
+        return out
+
+    return _bound(kind_of(v), of)
 
 
 #: Stands around entities while a text is cut; where a text has it, or the sign that escapes it, both are escaped first.

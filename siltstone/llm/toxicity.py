@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import fold_of, free_name, held, in_share
+from siltstone.llm.common import fold_of, free_name, give_back, held, in_share
 
 #: About how many labelled documents are picked of each class, by the hash of their ids, whatever their length.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
@@ -209,7 +209,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text")).where("text is not null")
     picked = texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
     rows = sorted((r["id"], r["text"], r["y"]) for r in picked.collect())
-    return train([(t, y) for _, t, y in rows])
+    del texts, picked
+    model = train([(t, y) for _, t, y in rows])
+    del rows
+    give_back()
+    return model
 
 
 def meter_of(model: Model) -> Meter:
