@@ -116,6 +116,11 @@ LONG_RUN = 1000
 RUNS, ALPHABETS = _other_letters()
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 class _Table:
     """Alphabets as literals that one search looks up: all letters, and for each the number of its alphabet as a character."""
 
@@ -138,18 +143,26 @@ def _moved(c: Column, hashed: Column, alphabets: tuple[str, ...]) -> Column:
     """A letter or number, moved in its alphabet by one place at least; for NAME, one of any script among those of its
     script and category. Others stay."""
     table = _TABLES[alphabets]
-    at = F.instr(F.lit(table.letters), c)
-    n = F.ascii(F.substr(F.lit(table.alphabet_of), at, F.lit(1))) - 0xFF
-    start = F.element_at(F.lit(table.starts), n)
-    out = F.when(at > 0, F.substr(F.lit(table.letters), (start + 1 + _shifted(at - 1 - start, F.element_at(F.lit(table.sizes), n), hashed)).cast("int"), F.lit(1)))
-    if alphabets is not NAME:
-        return out.otherwise(c)
-    firsts, sizes = F.lit([first for first, _ in RUNS]), F.lit([size for _, size in RUNS])
-    run = F.aggregate(firsts, F.lit(0), lambda k, first: k + (F.ascii(c) >= first).cast("int"))  # runs are in order
-    first, size = F.element_at(firsts, F.greatest(run, F.lit(1))), F.element_at(sizes, F.greatest(run, F.lit(1)))
-    point = first + _shifted(F.ascii(c) - first, size, hashed)
-    moved = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-    return out.when(F.ascii(c) < 128, c).when((run > 0) & (F.ascii(c) < first + size), moved).otherwise(c)
+
+    def listed(at: Column) -> Column:
+        def of(n: Column) -> Column:
+            start = F.element_at(F.lit(table.starts), n)
+            return (start + 1 + _shifted(at - 1 - start, F.element_at(F.lit(table.sizes), n), hashed)).cast("int")
+
+        return F.substr(F.lit(table.letters), _bound(F.ascii(F.substr(F.lit(table.alphabet_of), at, F.lit(1))) - 0xFF, of), F.lit(1))
+
+    def in_run(run: Column) -> Column:
+        first, size = F.element_at(F.lit([first for first, _ in RUNS]), run), F.element_at(F.lit([size for _, size in RUNS]), run)
+        point = first + _shifted(F.ascii(c) - first, size, hashed)
+        return F.when(F.ascii(c) < first + size, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(c)
+
+    def unlisted() -> Column:
+        if alphabets is not NAME:
+            return c
+        run = F.aggregate(F.lit([first for first, _ in RUNS]), F.lit(0), lambda k, first: k + (F.ascii(c) >= first).cast("int"))  # runs are in order
+        return F.when(F.ascii(c) < RUNS[0][0], c).otherwise(_bound(run, in_run))
+
+    return _bound(F.instr(F.lit(table.letters), c), lambda at: F.when(at > 0, listed(at)).otherwise(unlisted()))
 
 
 def _hash(key: str, kind: str | Column, before: Column) -> Column:
@@ -166,7 +179,7 @@ def walk(v: Column, key: str, kind: str, alphabets: tuple[str, ...]) -> Column:
     def block(done: Column, part: Column) -> Column:
         def step(i: Column) -> Column:
             before = F.concat(done["digest"], F.substr(part, F.lit(1), i - 1))
-            return _moved(F.substr(part, i, F.lit(1)), _hash(key, kind, before), alphabets)
+            return _bound(F.substr(part, i, F.lit(1)), lambda c: _moved(c, _hash(key, kind, before), alphabets))
 
         moved = F.array_join(F.transform(F.sequence(F.lit(1), F.length(part)), step), "")
         return F.struct(F.sha2(F.concat(done["digest"], part), 256).alias("digest"), F.concat(done["moved"], moved).alias("moved"))
@@ -191,18 +204,22 @@ def check_digit(digits: Column) -> Column:
 
 
 def _card(v: Column, key: str) -> Column:
-    digits = F.regexp_replace(v, "[^0-9]", "")
-    body = F.substr(digits, F.lit(1), F.length(digits) - 1)
-    new = walk(body, key, "card", (_DIGITS,))
-    last = (check_digit(new) + F.substr(digits, F.length(digits), F.lit(1)).cast("int") - check_digit(body) + 10) % 10
-    out = F.concat(new, last.cast("string"))
+    def with_check_digit(new: Column) -> Column:
+        return F.concat(new, check_digit(new).cast("string"))
 
-    def place(i: Column) -> Column:
-        c = F.substr(v, i, F.lit(1))
-        nth = F.length(F.regexp_replace(F.substr(v, F.lit(1), i), "[^0-9]", ""))
-        return F.when(c.rlike("[0-9]"), F.substr(out, nth, F.lit(1))).otherwise(c)
+    def laid_out(out: Column) -> Column:
+        def place(i: Column) -> Column:
+            c = F.substr(v, i, F.lit(1))
+            nth = F.length(F.regexp_replace(F.substr(v, F.lit(1), i), "[^0-9]", ""))
+            return F.when(c.rlike("[0-9]"), F.substr(out, nth, F.lit(1))).otherwise(c)
 
-    return F.when(F.length(digits) == F.length(v), out).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(v)), place), ""))
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(v)), place), "")
+
+    def of(digits: Column) -> Column:
+        body = F.substr(digits, F.lit(1), F.length(digits) - 1)
+        return F.when(check_digit(body).cast("string") == F.substr(digits, F.length(digits), F.lit(1)), _bound(_bound(walk(body, key, "card", (_DIGITS,)), with_check_digit), laid_out)).otherwise(v)
+
+    return _bound(F.regexp_replace(v, "[^0-9]", ""), of)
 
 
 def _ip(v: Column, key: str) -> Column:
@@ -216,13 +233,15 @@ def _ip(v: Column, key: str) -> Column:
 
 
 def _phone(v: Column, key: str) -> Column:
-    code = F.regexp_extract(v, r"^\+(?:1|[0-9]{1,3}(?=[ .-]))[ .-]?", 0)
-    number = _rest(v, code)
-    before = F.regexp_extract(number, r"^(.*[0-9].*?)555([ .-]?[0-9]{4})$", 1)
-    after = F.regexp_extract(number, r"^(.*[0-9].*?)555([ .-]?[0-9]{4})$", 2)
-    around = walk(F.concat(before, after), key, "phone555", (_DIGITS,))
-    fictional = F.concat(F.substr(around, F.lit(1), F.length(before)), F.lit("555"), _rest(around, before))
-    return F.concat(code, F.when(before != "", fictional).otherwise(walk(number, key, "phone", (_DIGITS,))))
+    def number(code: Column) -> Column:
+        return F.concat(code, _bound(_rest(v, code), moved))
+
+    def moved(number: Column) -> Column:
+        before, after = (F.regexp_extract(number, r"^(.*[0-9].*?)555([ .-]?[0-9]{4})$", k) for k in (1, 2))
+        fictional = _bound(walk(F.concat(before, after), key, "phone555", (_DIGITS,)), lambda around: F.concat(F.substr(around, F.lit(1), F.length(before)), F.lit("555"), _rest(around, before)))
+        return F.when(before != "", fictional).otherwise(walk(number, key, "phone", (_DIGITS,)))
+
+    return _bound(F.regexp_extract(v, r"^\+(?:1|[0-9]{1,3}(?=[ .-]))[ .-]?", 0), number)
 
 
 def _email(v: Column, key: str) -> Column:
@@ -241,11 +260,6 @@ def _secret(v: Column, key: str) -> Column:
     return F.concat(start, F.when(value.rlike("^[0-9a-f]+$"), walk(value, key, "hex", HEX)).otherwise(walk(value, key, "secret", CODE)))
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value made once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 _ALL_NAMES = [name for names in NAMES for name in names]
 _LIST_OF = [n for n, names in enumerate(NAMES) for _ in names]
 _LIST_SIZES = [len(names) for names in NAMES]
@@ -279,16 +293,10 @@ def kind_of(v: Column) -> Column:
     return out
 
 
-def is_card(v: Column) -> Column:
-    """The check digit is right: other long numbers are none."""
-    digits = F.regexp_replace(v, "[^0-9]", "")
-    return check_digit(F.substr(digits, F.lit(1), F.length(digits) - 1)).cast("string") == F.substr(digits, F.length(digits), F.lit(1))
-
-
 def surrogate(v: Column, key: str) -> Column:
     """The surrogate of an entity, by its type; a number that only looks like a card's stays."""
     by_kind = {
-        "email": _email(v, key), "secret": _secret(v, key), "access_key": _keep_head(v, key, "access_key", "^(?:AKIA|ghp_|sk-)", CODE), "hex": walk(v, key, "hex", HEX), "card": F.when(is_card(v), _card(v, key)).otherwise(v),
+        "email": _email(v, key), "secret": _secret(v, key), "access_key": _keep_head(v, key, "access_key", "^(?:AKIA|ghp_|sk-)", CODE), "hex": walk(v, key, "hex", HEX), "card": _card(v, key),
         "phone": _phone(v, key), "ssn": walk(v, key, "ssn", (_DIGITS,)), "iban": _keep_head(v, key, "iban", "^[A-Z]{2}", CODE), "ip": _ip(v, key), "ip6": walk(v, key, "ip6", ADDRESS), "person": _person(v, key),
     }
 
