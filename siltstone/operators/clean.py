@@ -6,11 +6,14 @@ first failing step wins, and nothing is read twice for passing and rejected rows
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.expressions import any_of, bad_date, fingerprint, snapshot, text_of, to_date, to_money
 from siltstone.plans.config import TableSpec
+from siltstone.sources.store import written
 
 BAD_DATE, BAD_NUMBER, ORPHAN, DUPLICATE = "invalid_date_format", "invalid_number_format", "orphan_foreign_key", "duplicate_primary_key"
 REASON, DETAIL, ROW = "__reason", "__detail", "__row"
@@ -61,12 +64,15 @@ def check_parents(df: DataFrame, spec: TableSpec, silver: dict[str, DataFrame])
     return df
 
 
-def check_duplicates(df: DataFrame, spec: TableSpec, existing: DataFrame | None = None) -> DataFrame:
+def check_duplicates(df: DataFrame, spec: TableSpec, existing: DataFrame | None = None, hold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows equal in key and all declared columns to an earlier one; for append-only tables, also keys already there.
 
     The first by load time, batch and file stays. It is found by an aggregate, which combines before its shuffle, and
-    joined back, so a row repeated in a third of the table is no hot spot as it would be for a window.
+    joined back, so a row repeated in a third of the table is no hot spot as it would be for a window. Rows equal in
+    all this are told apart by the number that ``tag`` gave them. Both sides of the join must see the same numbers,
+    also when a task is run again, so the rows are written first, by ``hold`` if there is one.
     """
+    df = hold(df) if hold else written(df, f"cast-{spec.table_name}")
     columns = [c for c in spec.headers if c in df.columns]
     order = F.struct(*[F.col(c) for c in ("load_timestamp", "batch_id", "_source_file") if c in df.columns], F.col(ROW))
     df = df.withColumn("__hash", fingerprint([*spec.keys, *columns])).withColumn("__order", order)
@@ -84,9 +90,11 @@ def check_duplicates(df: DataFrame, spec: TableSpec, existing: DataFrame | None
     return _reject(df, again, DUPLICATE, detail).drop("__hash", "__order", "__first")
 
 
-def clean(bronze: DataFrame, spec: TableSpec, silver: dict[str, DataFrame], existing: DataFrame | None = None, reject_numbers: bool = False) -> DataFrame:
+def clean(
+    bronze: DataFrame, spec: TableSpec, silver: dict[str, DataFrame], existing: DataFrame | None = None, reject_numbers: bool = False, hold: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """All bronze rows, cast and tagged."""
-    return check_duplicates(check_parents(cast(tag(bronze), spec, reject_numbers), spec, silver), spec, existing)
+    return check_duplicates(check_parents(cast(tag(bronze), spec, reject_numbers), spec, silver), spec, existing, hold)
 
 
 def passed(tagged: DataFrame) -> DataFrame:

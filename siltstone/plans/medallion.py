@@ -42,7 +42,7 @@ def to_bronze(run: Run, folder: str, spec: TableSpec, ingested_at=None) -> None:
     known = {r[0] for r in store.table(name).select("_source_file").distinct().collect()} if store.exists(name) else set()
     got = landing.ingest(store.spark, folder, spec, ingested_at, known)
     run.warnings[spec.table_name] = got.warnings
-    run.headers[spec.table_name] = landing.header_union(store.spark, folder, spec)
+    run.headers[spec.table_name] = got.headers
     if got.files:
         store.append(name, got.bronze)
     if store.exists(name):
@@ -58,7 +58,8 @@ def not_done(run: Run, spec: TableSpec) -> DataFrame:
 def to_silver(run: Run, spec: TableSpec, catalogue: Catalogue, rejected_at=None) -> None:
     """New bronze rows, cleaned once, merged into the silver table by the way its history is kept; rejects are added.
 
-    A first run builds the table from all its rows. The tagged rows are written once and all steps read them.
+    A first run builds the table from all its rows. The tagged rows are written, once before duplicates are sought and
+    once after, and all steps read them.
     """
     store, name = run.store, spec.table_name
     for _, parent, _ in spec.parents():
@@ -71,7 +72,8 @@ def to_silver(run: Run, spec: TableSpec, catalogue: Catalogue, rejected_at=None)
     if there is not None and not fresh.head(1):
         counts.update(silver=there.count(), rejects={})
         return
-    tagged = store.overwrite(f"stage.{name}", clean.clean(fresh, spec, run.silver(catalogue), there))
+    numbered = lambda df: store.overwrite(f"cast.{name}", df)
+    tagged = store.overwrite(f"stage.{name}", clean.clean(fresh, spec, run.silver(catalogue), there, hold=numbered))
     good, files = clean.passed(tagged), tagged.select("_source_file").distinct()
     if there is None:
         table = store.overwrite(f"silver.{name}", history.silver(good, spec))

@@ -40,3 +40,22 @@ def test_store(spark, tmp_path):
     store.register("silver.t")
     assert run_query(spark, "select count(*) n from t") == [{"n": 3}] and query_columns(spark, "select id x, 1 y from t") == ["x", "y"]
     assert describe(store.table("silver.t")) == [{"col_name": "id", "data_type": "bigint"}]
+
+
+def test_files_of_one_header_are_read_together(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i:02d}.csv").write_text(f"\n id;a;b\n{i};x;y\n" if i % 2 else f"id;a;b;extra\n{i};x;y;z\n")
+    (tmp_path / "a b%20+é.csv").write_text("id;a;b\n99;x;y\n")
+    (tmp_path / "empty.csv").write_text("")
+    groups = landing.header_groups(spark, landing.csv_files(spark, str(tmp_path)), SPEC)
+    assert [(columns, len(paths)) for columns, paths in groups] == [(["id", "a", "b", "extra"], 20), ([" id", "a", "b"], 20), (["id", "a", "b"], 1), ([], 1)]
+    got = landing.ingest(spark, str(tmp_path), SPEC, known={"02.csv"})
+    assert len(got.files) == 41 and len(got.headers) == 42 and got.headers["empty.csv"] == [] and len(got.warnings) == 19 + 20
+    rows = {r._source_file: r for r in got.bronze.collect()}
+    assert len(rows) == 40 and rows["a b%20+é.csv"].id == "99" and rows["04.csv"].extra == "z" and rows["05.csv"].id is None and rows["05.csv"].a == "x"
+
+
+def test_only_empty_files(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    got = landing.ingest(spark, str(tmp_path), SPEC)
+    assert got.bronze.count() == 0 and got.bronze.columns[:3] == SPEC.headers and got.warnings == [] and len(got.files) == 1
