@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.checks import SAMPLES, ValidationResult, _n
@@ -126,8 +126,9 @@ CATEGORY_VALUES = 10
 
 
 def profile(df: DataFrame, exact: bool = False) -> DataFrame:
-    """(column_name, data_type, n_rows, n_null, n_distinct, non_negative), a row for each column, in one pass.
+    """(column_name, data_type, n_rows, n_null, n_distinct, non_negative, minimum, maximum), a row for each column, in one pass.
 
+    The least and the largest value are given as double, for numbers alone.
     Distinct values are estimated, as exact counts shuffle every column; ``exact`` counts them all the same.
     """
     distinct = F.count_distinct if exact else F.approx_count_distinct
@@ -135,8 +136,13 @@ def profile(df: DataFrame, exact: bool = False) -> DataFrame:
     number = lambda t: t.startswith(("decimal", "int", "bigint", "double", "float", "smallint", "tinyint"))
     aggregates = [F.count(F.lit(1)).alias("__all")]
     for i, n, t in kinds:
-        aggregates += [_n(F.col(f"`{n}`").isNull(), f"__null{i}"), distinct(F.col(f"`{n}`")).alias(f"__distinct{i}"), (_n(F.col(f"`{n}`") < 0, f"__neg{i}") if number(t) else F.lit(-1).cast("long").alias(f"__neg{i}"))]
-    stacked = F.array(*[F.struct(F.lit(n).alias("column_name"), F.lit(t).alias("data_type"), F.col("__all").alias("n_rows"), F.col(f"__null{i}").alias("n_null"), F.col(f"__distinct{i}").alias("n_distinct"), (F.col(f"__neg{i}") == 0).alias("non_negative")) for i, n, t in kinds])
+        c = F.col(f"`{n}`")
+        aggregates += [_n(c.isNull(), f"__null{i}"), distinct(c).alias(f"__distinct{i}")]
+        if number(t):
+            aggregates += [_n(c < 0, f"__neg{i}"), F.min(c).cast("double").alias(f"__min{i}"), F.max(c).cast("double").alias(f"__max{i}")]
+    none = F.lit(None).cast("double")
+    of = lambda i, t: (F.col(f"__neg{i}") == 0, F.col(f"__min{i}"), F.col(f"__max{i}")) if number(t) else (F.lit(False), none, none)
+    stacked = F.array(*[F.struct(F.lit(n).alias("column_name"), F.lit(t).alias("data_type"), F.col("__all").alias("n_rows"), F.col(f"__null{i}").alias("n_null"), F.col(f"__distinct{i}").alias("n_distinct"), *[v.alias(k) for v, k in zip(of(i, t), ("non_negative", "minimum", "maximum"))]) for i, n, t in kinds])
     return df.agg(*aggregates).select(F.explode(stacked).alias("e")).select("e.*")
 
 
@@ -153,3 +159,15 @@ def suggestions(profiled: DataFrame) -> DataFrame:
         lambda x: x.isNotNull(),
     )
     return profiled.select("column_name", F.explode(rules).alias("suggestion"))
+
+
+#: Suggestions that a summary shows.
+SHOWN = 3
+
+
+def top_suggestions(found: DataFrame, n: int = SHOWN) -> DataFrame:
+    """The first suggestions by column and text; for each table, where there is a ``table_name``."""
+    order = ["column_name", "suggestion"]
+    if "table_name" not in found.columns:
+        return found.orderBy(*order).limit(n)
+    return found.withColumn("__nth", F.row_number().over(Window.partitionBy("table_name").orderBy(*order))).where(F.col("__nth") <= n).drop("__nth")

@@ -366,6 +366,18 @@ def constraint_suggestions(spark, sf_dir):
     return landing.union_all([expectations.suggestions(expectations.profile(t.read(n), exact=True)).withColumn("table_name", F.lit(n)) for n in ("nation", "customer", "orders")])
 
 
+@query
+def constraint_suggestions_top(spark, sf_dir):
+    """What a summary shows of them: three for each table."""
+    return expectations.top_suggestions(constraint_suggestions(spark, sf_dir))
+
+
+@query
+def column_profile(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return landing.union_all([expectations.profile(t.read(n), exact=True).drop("data_type").withColumn("table_name", F.lit(n)) for n in ("nation", "customer", "orders")])
+
+
 @query
 def row_conservation(spark, sf_dir):
     t, frames = Tables(spark, sf_dir), []

@@ -128,9 +128,12 @@ _COLUMNS = {  # columns and whether they are texts or numbers
     "orders": {"o_orderkey": "number", "o_custkey": "number", "o_orderstatus": "text", "o_totalprice": "number", "o_orderdate": "date", "o_orderpriority": "text"},
 }
 _PROFILES = " UNION ALL ".join(
-    f"SELECT '{t}' AS t, '{c}' AS c, {kind == 'text'} AS text, {kind == 'number'} AS number, count(*) AS n, count({c}) AS m, count(DISTINCT {c}) AS d, {f'count(*) FILTER ({c} < 0) > 0' if kind == 'number' else 'false'} AS negative FROM {t}"
+    f"SELECT '{t}' AS t, '{c}' AS c, {kind == 'text'} AS text, {kind == 'number'} AS number, count(*) AS n, count({c}) AS m, count(DISTINCT {c}) AS d, {f'count(*) FILTER ({c} < 0) > 0' if kind == 'number' else 'false'} AS negative, "
+    f"{f'CAST(min({c}) AS DOUBLE)' if kind == 'number' else 'NULL::DOUBLE'} AS minimum, {f'CAST(max({c}) AS DOUBLE)' if kind == 'number' else 'NULL::DOUBLE'} AS maximum FROM {t}"
     for t, columns in _COLUMNS.items() for c, kind in columns.items()
 )
+_SUGGESTIONS = """SELECT t AS table_name, c AS column_name, 'is complete' AS suggestion FROM p WHERE n = m UNION ALL SELECT t, c, 'is unique' FROM p WHERE n = m AND n > 1 AND d >= 0.95 * n
+      UNION ALL SELECT t, c, 'is non-negative' FROM p WHERE number AND NOT negative UNION ALL SELECT t, c, 'is categorical' FROM p WHERE text AND d <= 10 AND n > 10 * d"""
 
 
 _BODIES = {
@@ -192,9 +195,9 @@ _BODIES = {
     "expectations_current": f"SELECT *, unexpected_count = 0 AS success FROM ({_CUSTOMER_SUITE})",
     "verification_suite": _VERIFY,
     "row_conservation": " UNION ALL ".join([_kept("customers", "cust_b", "cust", "(SELECT count(*) FROM cust_b) - (SELECT count(*) FROM cust_ok)", "="), _kept("orders", "ord_b", "ord", "(SELECT count(*) FROM ord_r)", ">="), _kept("lines", "lin_b", "lin", "(SELECT count(*) FROM lin_r)", "=")]),
-    "constraint_suggestions": f""", p AS ({_PROFILES})
-      SELECT t AS table_name, c AS column_name, 'is complete' AS suggestion FROM p WHERE n = m UNION ALL SELECT t, c, 'is unique' FROM p WHERE n = m AND n > 1 AND d >= 0.95 * n
-      UNION ALL SELECT t, c, 'is non-negative' FROM p WHERE number AND NOT negative UNION ALL SELECT t, c, 'is categorical' FROM p WHERE text AND d <= 10 AND n > 10 * d""",
+    "constraint_suggestions": f", p AS ({_PROFILES}) {_SUGGESTIONS}",
+    "constraint_suggestions_top": f", p AS ({_PROFILES}) SELECT * FROM ({_SUGGESTIONS}) QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY column_name, suggestion) <= 3",
+    "column_profile": f", p AS ({_PROFILES}) SELECT t AS table_name, c AS column_name, n AS n_rows, n - m AS n_null, d AS n_distinct, number AND NOT negative AS non_negative, minimum, maximum FROM p",
     "validation_report": f"""SELECT table_name, validator_name, n = 0 AS passed, CAST(n AS INTEGER) AS n_issues FROM (
       SELECT t AS table_name, v AS validator_name, 0 AS n FROM (VALUES ('customers'), ('orders'), ('lines')) x(t), (VALUES ('schema_validator'), ('referential_integrity_validator'), ('scd_validator')) y(v)
       UNION ALL SELECT table_name, 'business_rule_validator', count(*) FILTER (n_violations > 0) FROM ({_RULES}) GROUP BY table_name

@@ -7,6 +7,7 @@ import pytest
 
 from siltstone.plans import medallion
 from siltstone.plans.config import load_catalogue
+from siltstone.sources import samples
 
 AS_OF = datetime.date(2026, 7, 31)
 TABLES = {
@@ -53,20 +54,8 @@ def run(spark, tmp_path_factory):
         (root / f"config/tables/{name}.yaml").write_text(text)
     (root / "config/gold_mappings.yaml").write_text(GOLD)
     land = root / "landing"
-    write(land / "customers/customers_batch1.csv", [customer(n) for n in range(2000)], "batch_001", "2026-07-31")
-    write(land / "customers/customers_batch2.csv", [customer(n, "1 New Street, Town") for n in range(150)] + [customer(n) for n in range(2000, 2050)], "batch_002", "2026-08-02")
-    bad = [customer(3000 + n, customer_name="") for n in range(10)] + [customer(3010 + n, dob="") for n in range(10)] + [customer(500 + n) for n in range(10)] + [customer(3020 + n, dob="2027-01-01") for n in range(10)]
-    write(land / "customers/customers_batch3_defects.csv", bad, "batch_003_defects", "2026-08-04")
-    write(land / "policies/policies_batch1.csv", [policy(n) for n in range(5000)], "batch_001", "2026-07-31")
-    write(land / "policies/policies_batch2.csv", [policy(n, premium=200) for n in range(300)] + [policy(n) for n in range(5000, 5100)], "batch_002", "2026-08-03")
-    bad = [policy(6000 + n, customer_id="GONE") for n in range(15)] + [policy(6020 + n, premium=-5) for n in range(15)] + [policy(6040 + n, policy_end_date="2019-01-01") for n in range(15)] + [policy(1000 + n) for n in range(15)]
-    write(land / "policies/policies_batch3_defects.csv", bad, "batch_003_defects", "2026-08-04")
-    write(land / "claims/claims_batch1.csv", [claim(n) for n in range(7000)], "batch_001", "2026-07-31")
-    write(land / "claims/claims_batch2.csv", [claim(n) for n in range(7000, 9000)], "batch_002", "2026-08-04")
-    bad = [claim(9100 + n, policy_id="GONE") for n in range(20)] + [claim(9120 + n, claim_amount="") for n in range(20)] + [claim(9140 + n, claim_amount="-3.00") for n in range(15)] + [claim(9155 + n, claim_status="Escalated") for n in range(15)] + [claim(n) for n in range(10)]
-    write(land / "claims/claims_batch3_defects.csv", bad, "batch_003_defects", "2026-08-09")
-    drift = [{("reason_notes" if k == "claim_reason" else k): v for k, v in claim(9200 + n).items()} for n in range(20)]
-    write(land / "claims/claims_batch4_schema_drift.csv", drift, "batch_004_schema_drift", "2026-08-12")
+    manifest = samples.landing_zone(spark, str(land))
+    assert manifest.count() == 200 and manifest.select("defect_type").distinct().count() == 14
     catalogue = load_catalogue(root / "config")
     return medallion.execute(spark, catalogue, str(land), f"file://{root}/tables", "2026-08-13"), catalogue
 
