@@ -36,7 +36,8 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trigrams (as numbers) of the lower-cased letters, with any other run as one space, and their counts."""
+    """Distinct trigrams (as numbers) of the lower-cased letters, and their counts. A run of other characters after a
+    letter is one space; a space more stands before the first letter and at the end."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(points):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

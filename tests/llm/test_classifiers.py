@@ -52,6 +52,48 @@ def test_bundles_in_blocks_are_sums_of_bound_letters(monkeypatch):
     assert np.array_equal(whole[1], bind(0, a, 0) + bind(a, 0, b) + bind(0, b, 0))
 
 
+def brute_languages(rows):
+    """What the query should say of (doc_id, text, lang) rows whose languages are too few for a sample, trigram by trigram."""
+    two, one, base = (t.astype(float) for t in H.tables()[:3])
+
+    def vector(text):
+        letters, out = [], np.zeros(H.DIMENSIONS)
+        for c in (text or "").lower():
+            if c.isalpha():
+                letters.append(ord(c) % H.LETTERS + 1)
+            elif letters and letters[-1]:
+                letters.append(0)
+        letters = [0, *letters, 0]
+        for a, b, c in zip(letters, letters[1:], letters[2:]):
+            out += two[a] * one[b] * base[c]
+        return out
+
+    seen, prototypes = set(), {}
+    vectors = [vector(t) for _, t, _ in rows]
+    for (i, t, lang), v in zip(rows, vectors):
+        if None not in (i, t, lang) and fold(i) != 2 and v.any() and (i, lang) not in seen:
+            seen.add((i, lang))
+            prototypes[lang] = prototypes.get(lang, 0) + v / np.linalg.norm(v)
+    out = []
+    for (i, _, _), v in zip(rows, vectors):
+        near = [(float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)), lang) for lang, p in prototypes.items()] if v.any() else []
+        out.append((i, near))
+    return out
+
+
+def test_the_whole_query_is_that_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(H, "SAMPLE", 10_000)  # so that every document of the folds bundles
+    rng = random.Random(5)
+    rows = [(i, prose(rng, lang, rng.randrange(1, 40)).title() + rng.choice(["", " 12, ", "\n--", " ж"]), lang) for i in range(240) for lang in [rng.choice("en de fr".split())]]
+    rows += [(900, None, "en"), (901, "", "de"), (902, "1 2 3", "fr"), (903, "the thing", None), (None, "die Zeit", "de")]
+    got = H.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()
+    by = {r.doc_id: r for r in got}
+    for i, near in brute_languages(rows):
+        best = max((c for c, _ in near), default=0.0)
+        assert abs(by[i].score - max(0.0, min(1.0, best))) < 1e-4
+        assert by[i].lang_pred in ({lang for c, lang in near if c > best - 1e-4} or {H.UNKNOWN})
+
+
 def toxic_rows(n, seed=1):
     rng = random.Random(seed)
     out = []

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from siltstone.llm import quality
 from siltstone.llm.queries import BYTE_BPE, oracle_sql, queries
 
 from .test_bin_completion import B
@@ -34,6 +35,10 @@ def test_stages(spark, stages):
     before = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     clean, good, first, private, packed = (x for _, x, _ in stages)
     assert set(good) <= set(clean) <= set(before) and len(clean) > 0.8 * len(before) and all(clean[i] == before[i] for i in clean)
+    toxic = {r.doc_id: r.predicted for r in queries()["op10_toxicity"](spark, SF).collect()}
+    assert set(clean) == {i for i, p in toxic.items() if not p}
+    kept = quality.judge(spark.createDataFrame(list(clean.values()), spark.read.parquet(f"{SF}/documents.parquet").schema), spark.read.parquet(f"{SF}/labels.parquet"))
+    assert set(good) == {r.doc_id for r in kept.collect() if r.kept}
     from .test_quality import brute
 
     for i, r in clean.items():
@@ -78,7 +83,11 @@ def test_queries(spark, tmp_path):
     assert BYTE_BPE.startswith("/")
 
 
-def test_run(spark):
+def test_run(spark, stages):
+    """``run`` is the stages one after the other: equal sequences of equal pieces, of the same session's surrogates."""
     import corpus_pipeline
 
-    assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+    pieces = lambda rows: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert pieces(got) == pieces(stages[-1][1]) and len({r.sequence_id for r in got}) == len({r.sequence_id for r in stages[-1][1]})
+    assert corpus_pipeline.ORACLE_SQL is None
