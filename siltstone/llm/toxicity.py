@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -50,18 +51,25 @@ LEAST_DOCS = 5
 PREDICT_AT = 0.3
 #: Windows whose gain a worker remembers.
 REMEMBER = 100_000
+#: Characters of texts whose windows are measured together.
+TOGETHER = 1 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE_END = re.compile(r"[.!?\n|]+")
 
 
-def windows(text: str) -> list[bytes]:
-    """The distinct windows of a whole text: runs of letters, lower-cased, WINDOW_WORDS at a time."""
+def window_set(text: str) -> list[bytes]:
+    """The distinct windows of a whole text, in no order: runs of letters, lower-cased, WINDOW_WORDS at a time."""
     out = set()
     for sentence in _SENTENCE_END.split(text.lower()):
         words = _WORD.findall(sentence)
-        out.update(" ".join(["", *words[k : k + WINDOW_WORDS], ""]) for k in range(0, len(words), WINDOW_WORDS))
-    return sorted(w.encode("utf-8", "surrogatepass") for w in out)
+        out.update([f" {' '.join(words[k : k + WINDOW_WORDS])} " for k in range(0, len(words), WINDOW_WORDS)])
+    return [w.encode("utf-8", "surrogatepass") for w in out]
+
+
+def windows(text: str) -> list[bytes]:
+    """The distinct windows of a whole text, in order."""
+    return sorted(window_set(text))
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
@@ -75,7 +83,7 @@ def trained(samples: list[bytes], size: int) -> bytes:
 
 
 def coster(dictionary: bytes):
-    """Bytes that a window costs with the dictionary's content."""
+    """Bytes that each of some windows costs with the dictionary's content."""
     import zstandard as z
 
     content = FRAME + dictionary + FRAME
@@ -84,7 +92,13 @@ def coster(dictionary: bytes):
     d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=how)
     compress = z.ZstdCompressor(dict_data=d, compression_params=how).compress
-    return lambda window: len(compress(FRAME + window + FRAME))
+    return lambda ws: list(map(len, map(compress, [FRAME + w + FRAME for w in ws])))
+
+
+def saved(alone, beside, ws: list[bytes]) -> list[int]:
+    """Gains of windows from two costers. All windows pass the one, then the other, so that the processor's cache holds
+    the tables of one dictionary at a time."""
+    return [max(0, min(MOST_GAIN, a - b)) for a, b in zip(alone(ws), beside(ws))]
 
 
 class Meter:
@@ -97,17 +111,23 @@ class Meter:
         self.alone, self.beside = coster(ordinary), coster(toxic + ordinary)
         self.known: dict[bytes, int] = {}
 
+    def gains(self, ws: list[bytes]) -> list[int]:
+        known = self.known
+        new = [w for w in dict.fromkeys(ws) if w not in known]
+        fresh = dict(zip(new, saved(self.alone, self.beside, new)))
+        out = [fresh[w] if w in fresh else known[w] for w in ws]
+        if len(known) + len(fresh) > REMEMBER:
+            self.known = fresh if len(fresh) <= REMEMBER else {}
+        else:
+            known.update(fresh)
+        return out
+
     def gain(self, window: bytes) -> int:
-        g = self.known.get(window)
-        if g is None:
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
-            g = self.known[window] = max(0, min(MOST_GAIN, self.alone(window) - self.beside(window)))
-        return g
+        return self.gains([window])[0]
 
     def counts(self, text: str) -> np.ndarray:
         """How many distinct windows of a whole text have each gain, 0 to MOST_GAIN."""
-        return counted([self.gain(w) for w in windows(text)])
+        return counted(self.gains(window_set(text)))
 
 
 def counted(gains: list[int]) -> np.ndarray:
@@ -128,8 +148,11 @@ class Model:
         """Log likelihood of the gains with the best share of toxic windows, against that with none."""
         return float((np.log1p(SHARES[:, None] * (self.odds[None] - 1)) @ counts).max())
 
+    def probability(self, counts: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.intercept + self.slope * self.evidence(counts), -30, 30))))
+
     def score(self, text: str, meter: Meter) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.intercept + self.slope * self.evidence(meter.counts(text)), -30, 30))))
+        return self.probability(meter.counts(text))
 
 
 def rising(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -182,9 +205,8 @@ def train(rows: list[tuple[str, int]]) -> Model:
         for f, parts in enumerate(zip(in_folds(source), in_folds(plain), in_folds(kept_out))):
             beside = coster(trained([w for w in from_windows if zlib.crc32(w) % FOLDS != f], size) + dictionary)
             for part in parts:
-                for w in part:
-                    if w not in gains:
-                        gains[w] = max(0, min(MOST_GAIN, alone(w) - beside(w)))
+                new = [w for w in part if w not in gains]
+                gains.update(zip(new, saved(alone, beside, new)))
         if k + 1 < len(TOXIC_BYTES):
             n = {name: counted([gains[w] for w in ws])[::-1].cumsum()[::-1] for name, ws in (("toxic", source), ("ordinary", kept_out))}
             lift = (n["toxic"] / max(1, len(source))) / (n["ordinary"] / max(1, len(kept_out)) + 1e-5)
@@ -220,13 +242,25 @@ def meter_of(model: Model) -> Meter:
     return held(("meter", model.ordinary, model.toxic), lambda: Meter(model.ordinary, model.toxic))
 
 
+def scores(model: Model, texts: list[str], meter: Meter) -> list[float]:
+    """The score of each whole text; windows are measured together for about TOGETHER characters of texts, one text at least."""
+    out, found, size = [], [], 0
+    for k, t in enumerate(texts, 1):
+        found.append(window_set(t))
+        size += len(t)
+        if size >= TOGETHER or k == len(texts):
+            gains = iter(meter.gains([w for ws in found for w in ws]))
+            out += [model.probability(counted(list(islice(gains, len(ws))))) for ws in found]
+            found, size = [], 0
+    return out
+
+
 def score_udf(model: Model, text: Column) -> Column:
     """The score of a whole text, 0 to 1; a null text is scored as an empty one."""
 
     @F.pandas_udf("double")
     def run(series: pd.Series) -> pd.Series:
-        meter = meter_of(model)
-        return pd.Series([model.score(t or "", meter) for t in series], dtype="float64")
+        return pd.Series(scores(model, [t or "" for t in series], meter_of(model)), dtype="float64")
 
     return run(text)
 
