@@ -121,48 +121,60 @@ def _bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-class _Table:
-    """Alphabets as literals that one search looks up: all letters, and for each the number of its alphabet as a character."""
+def _ints(values: list[int]) -> Column:
+    """An array of the numbers, which folds to one literal; ``lit`` would make a node of the plan for each."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
-    def __init__(self, alphabets: tuple[str, ...] | list[str]):
-        self.letters = "".join(alphabets)
+
+class _Tables:
+    """All sets of alphabets as literals that one search looks up, so that one expression serves them all: the letters
+    of each set; those of all sets in a row, where each set's begin, and for each letter the number of its alphabet as
+    a character."""
+
+    def __init__(self, sets: list[tuple[str, ...] | list[str]]):
+        alphabets = [a for of in sets for a in of]
+        self.letters_of = ["".join(of) for of in sets]
+        self.before = [sum(map(len, self.letters_of[:n])) for n in range(len(sets))]
+        self.letters = "".join(self.letters_of)
         self.alphabet_of = "".join(chr(0x100 + n) * len(a) for n, a in enumerate(alphabets))
         self.sizes = [len(a) for a in alphabets]
         self.starts = [sum(self.sizes[:n]) for n in range(len(alphabets))]
 
 
-#: NAME's letters come first, as most are found there.
-_TABLES = {a: _Table([*a, *ALPHABETS] if a is NAME else a) for a in ((_DIGITS,), HEX, ADDRESS, CODE, NAME)}
+#: NAME's own letters come before those of other scripts, as most are found there.
+_SETS = ((_DIGITS,), HEX, ADDRESS, CODE, NAME)
+_TABLES = _Tables([[*a, *ALPHABETS] if a is NAME else a for a in _SETS])
+
+
+def _number(alphabets: tuple[str, ...]) -> int:
+    """The number of a set of alphabets, from 1; a part of an entity that stays has 0."""
+    return _SETS.index(alphabets) + 1
 
 
 def _shifted(at: Column, size: Column, hashed: Column) -> Column:
     return (at + 1 + hashed % (size - 1)) % size
 
 
-def _moved(c: Column, hashed: Column, alphabets: tuple[str, ...]) -> Column:
+def _moved(c: Column, hashed: Column, alphabets: Column) -> Column:
     """A letter or number, moved in its alphabet by one place at least; for NAME, one of any script among those of its
-    script and category. Others stay."""
-    table = _TABLES[alphabets]
+    script and category. Others stay. ``alphabets`` is the number of their set."""
 
     def listed(at: Column) -> Column:
         def of(n: Column) -> Column:
-            start = F.element_at(F.lit(table.starts), n)
-            return (start + 1 + _shifted(at - 1 - start, F.element_at(F.lit(table.sizes), n), hashed)).cast("int")
+            start = F.element_at(_ints(_TABLES.starts), n)
+            return (start + 1 + _shifted(at - 1 - start, F.element_at(_ints(_TABLES.sizes), n), hashed)).cast("int")
 
-        return F.substr(F.lit(table.letters), _bound(F.ascii(F.substr(F.lit(table.alphabet_of), at, F.lit(1))) - 0xFF, of), F.lit(1))
+        return F.substr(F.lit(_TABLES.letters), _bound(F.ascii(F.substr(F.lit(_TABLES.alphabet_of), at, F.lit(1))) - 0xFF, of), F.lit(1))
 
     def in_run(run: Column) -> Column:
-        first, size = F.element_at(F.lit([first for first, _ in RUNS]), run), F.element_at(F.lit([size for _, size in RUNS]), run)
+        first, size = F.element_at(_ints([first for first, _ in RUNS]), run), F.element_at(_ints([size for _, size in RUNS]), run)
         point = first + _shifted(F.ascii(c) - first, size, hashed)
         return F.when(F.ascii(c) < first + size, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(c)
 
-    def unlisted() -> Column:
-        if alphabets is not NAME:
-            return c
-        run = F.aggregate(F.lit([first for first, _ in RUNS]), F.lit(0), lambda k, first: k + (F.ascii(c) >= first).cast("int"))  # runs are in order
-        return F.when(F.ascii(c) < RUNS[0][0], c).otherwise(_bound(run, in_run))
-
-    return _bound(F.instr(F.lit(table.letters), c), lambda at: F.when(at > 0, listed(at)).otherwise(unlisted()))
+    run = F.aggregate(_ints([first for first, _ in RUNS]), F.lit(0), lambda k, first: k + (F.ascii(c) >= first).cast("int"))  # runs are in order
+    unlisted = F.when((alphabets != _number(NAME)) | (F.ascii(c) < RUNS[0][0]), c).otherwise(_bound(run, in_run))
+    found = F.instr(F.element_at(F.lit(_TABLES.letters_of), alphabets), c)
+    return _bound(found, lambda at: F.when(at > 0, listed(at + F.element_at(_ints(_TABLES.before), alphabets))).otherwise(unlisted))
 
 
 def _hash(key: str, kind: str | Column, before: Column) -> Column:
@@ -170,12 +182,15 @@ def _hash(key: str, kind: str | Column, before: Column) -> Column:
     return F.conv(F.substr(F.sha2(F.concat(head, before), 256), F.lit(1), F.lit(10)), 16, 10).cast("long")
 
 
-def walk(v: Column, key: str, kind: str, alphabets: tuple[str, ...]) -> Column:
-    """Each character moved within its alphabet, by one place at least; characters of none stay.
+def walk(v: Column, key: str, kind: str | Column, alphabets: tuple[str, ...] | Column) -> Column:
+    """Each character moved within its alphabet, by one place at least; characters of none stay. ``alphabets`` is a set,
+    or the number of one.
 
     What stands before a part of BLOCK characters enters the hash as a digest, so time is not the square of the length.
     """
 
+    alphabets = alphabets if isinstance(alphabets, Column) else F.lit(_number(alphabets))
+
     def block(done: Column, part: Column) -> Column:
         def step(i: Column) -> Column:
             before = F.concat(done["digest"], F.substr(part, F.lit(1), i - 1))
@@ -203,23 +218,37 @@ def check_digit(digits: Column) -> Column:
     return (F.lit(10) - F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10) % 10
 
 
-def _card(v: Column, key: str) -> Column:
-    def with_check_digit(new: Column) -> Column:
-        return F.concat(new, check_digit(new).cast("string"))
+def _part(text: Column, kind: str | Column = "", alphabets: int | Column = 0) -> Column:
+    """A part of an entity: its text, the type that enters its hash, and the number of its alphabets; 0 stays."""
+    kind, alphabets = (x if isinstance(x, Column) else F.lit(x) for x in (kind, alphabets))
+    return F.struct(text.alias("text"), kind.alias("kind"), alphabets.cast("int").alias("alphabets"))
+
+
+def _digits(v: Column) -> Column:
+    return F.regexp_replace(v, "[^0-9]", "")
+
+
+def _card_parts(v: Column) -> Column:
+    """A card number's digits but the last; a number that only looks like one stays."""
+
+    def of(digits: Column) -> Column:
+        body = F.substr(digits, F.lit(1), F.length(digits) - 1)
+        return F.when(check_digit(body).cast("string") == F.substr(digits, F.length(digits), F.lit(1)), F.array(_part(body, "card", _number((_DIGITS,))))).otherwise(F.array(_part(v)))
+
+    return _bound(_digits(v), of)
+
+
+def _card(v: Column, moved: Column) -> Column:
+    """The moved digits with their check digit, laid out as in the card number ``v``."""
 
     def laid_out(out: Column) -> Column:
         def place(i: Column) -> Column:
             c = F.substr(v, i, F.lit(1))
-            nth = F.length(F.regexp_replace(F.substr(v, F.lit(1), i), "[^0-9]", ""))
-            return F.when(c.rlike("[0-9]"), F.substr(out, nth, F.lit(1))).otherwise(c)
+            return F.when(c.rlike("[0-9]"), F.substr(out, F.length(_digits(F.substr(v, F.lit(1), i))), F.lit(1))).otherwise(c)
 
         return F.array_join(F.transform(F.sequence(F.lit(1), F.length(v)), place), "")
 
-    def of(digits: Column) -> Column:
-        body = F.substr(digits, F.lit(1), F.length(digits) - 1)
-        return F.when(check_digit(body).cast("string") == F.substr(digits, F.length(digits), F.lit(1)), _bound(_bound(walk(body, key, "card", (_DIGITS,)), with_check_digit), laid_out)).otherwise(v)
-
-    return _bound(F.regexp_replace(v, "[^0-9]", ""), of)
+    return F.when(moved == v, v).otherwise(_bound(F.concat(moved, check_digit(moved).cast("string")), laid_out))
 
 
 def _ip(v: Column, key: str) -> Column:
@@ -232,57 +261,60 @@ def _ip(v: Column, key: str) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.size(parts)), step), ".")
 
 
-def _phone(v: Column, key: str) -> Column:
-    def number(code: Column) -> Column:
-        return F.concat(code, _bound(_rest(v, code), moved))
+_COUNTRY = r"^\+(?:1|[0-9]{1,3}(?=[ .-]))[ .-]?"
+_FICTIONAL = r"^(.*[0-9].*?)555([ .-]?[0-9]{4})$"
+
+
+def _phone_parts(v: Column) -> Column:
+    """The country code, and the number without a fictional exchange."""
+
+    def of(code: Column) -> Column:
+        return _bound(_rest(v, code), lambda number: F.array(_part(code), F.when(number.rlike(_FICTIONAL), _part(F.regexp_replace(number, _FICTIONAL, "$1$2"), "phone555", _number((_DIGITS,)))).otherwise(_part(number, "phone", _number((_DIGITS,))))))
 
-    def moved(number: Column) -> Column:
-        before, after = (F.regexp_extract(number, r"^(.*[0-9].*?)555([ .-]?[0-9]{4})$", k) for k in (1, 2))
-        fictional = _bound(walk(F.concat(before, after), key, "phone555", (_DIGITS,)), lambda around: F.concat(F.substr(around, F.lit(1), F.length(before)), F.lit("555"), _rest(around, before)))
-        return F.when(before != "", fictional).otherwise(walk(number, key, "phone", (_DIGITS,)))
+    return _bound(F.regexp_extract(v, _COUNTRY, 0), of)
 
-    return _bound(F.regexp_extract(v, r"^\+(?:1|[0-9]{1,3}(?=[ .-]))[ .-]?", 0), number)
 
+def _phone(v: Column, moved: Column) -> Column:
+    """The moved parts with the fictional exchange that the phone number ``v`` has."""
+    code = F.regexp_extract(v, _COUNTRY, 0)
+    before = F.regexp_extract(_rest(v, code), _FICTIONAL, 1)
+    return F.when(before == "", moved).otherwise(_bound(F.length(code) + F.length(before), lambda n: F.concat(F.substr(moved, F.lit(1), n), F.lit("555"), F.substr(moved, n + 1, F.length(moved)))))
 
-def _email(v: Column, key: str) -> Column:
+
+def _email(v: Column) -> Column:
     domain = F.regexp_extract(v, r"(?:\.example)?\.[A-Za-z0-9-]+$", 0)
-    return F.concat(walk(F.substr(v, F.lit(1), F.length(v) - F.length(domain)), key, "email", NAME), domain)
+    return F.array(_part(F.substr(v, F.lit(1), F.length(v) - F.length(domain)), "email", _number(NAME)), _part(domain))
 
 
-def _keep_head(v: Column, key: str, kind: str, head: str, alphabets) -> Column:
+def _keep_head(v: Column, kind: str, head: str, alphabets: tuple[str, ...]) -> Column:
     start = F.regexp_extract(v, head, 0)
-    return F.concat(start, walk(_rest(v, start), key, kind, alphabets))
+    return F.array(_part(start), _part(_rest(v, start), kind, _number(alphabets)))
 
 
-def _secret(v: Column, key: str) -> Column:
+def _secret(v: Column) -> Column:
     start = F.regexp_extract(v, r"^[^=:]*[=:]\s?\"?", 0)
-    value = _rest(v, start)
-    return F.concat(start, F.when(value.rlike("^[0-9a-f]+$"), walk(value, key, "hex", HEX)).otherwise(walk(value, key, "secret", CODE)))
+    return _bound(_rest(v, start), lambda value: F.array(_part(start), F.when(value.rlike("^[0-9a-f]+$"), _part(value, "hex", _number(HEX))).otherwise(_part(value, "secret", _number(CODE)))))
 
 
-_ALL_NAMES = [name for names in NAMES for name in names]
+_ALL_NAMES = " ".join(name for names in NAMES for name in names)
 _LIST_OF = [n for n, names in enumerate(NAMES) for _ in names]
 _LIST_SIZES = [len(names) for names in NAMES]
 _LIST_STARTS = [sum(_LIST_SIZES[:n]) for n in range(len(NAMES))]
 
 
-def _name(word: Column, key: str) -> Column:
-    """One name, moved within its list (all names of a list by as many places), or letter by letter; what is no name stays."""
-
-    def listed(at: Column) -> Column:
-        n = F.element_at(F.lit(_LIST_OF), at)
-        start, size = F.element_at(F.lit(_LIST_STARTS), n + 1), F.element_at(F.lit(_LIST_SIZES), n + 1)
-        shift = _hash(key, F.concat(F.lit("names"), n.cast("string")), F.lit(""))
-        return F.element_at(F.lit(_ALL_NAMES), (start + 1 + _shifted(at - 1 - start, size, shift)).cast("int"))
-
-    at = F.array_position(F.lit(_ALL_NAMES), word).cast("int")
-    return F.when(at > 0, listed(at)).when(word.rlike(r"^\p{L}"), walk(word, key, "person", NAME)).otherwise(word)
+def _listed(at: Column, key: str) -> Column:
+    """The name at a place of all lists, moved within its list: all names of a list by as many places."""
+    n = F.element_at(_ints(_LIST_OF), at)
+    start, size = F.element_at(_ints(_LIST_STARTS), n + 1), F.element_at(_ints(_LIST_SIZES), n + 1)
+    shift = _hash(key, F.concat(F.lit("names"), n.cast("string")), F.lit(""))
+    return F.element_at(F.split(F.lit(_ALL_NAMES), " "), (start + 1 + _shifted(at - 1 - start, size, shift)).cast("int"))
 
 
-def _person(v: Column, key: str) -> Column:
+def _person(v: Column) -> Column:
+    """The title and what stands between names stay; each name is a part."""
     title = F.regexp_extract(v, rf"^(?:{_TITLES})\.? ", 0)
     words = F.regexp_extract_all(_rest(v, title), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    return F.concat(title, F.array_join(F.transform(words, lambda w: _name(w, key)), ""))
+    return F.concat(F.array(_part(title)), F.transform(words, lambda w: _part(w, "person", F.when(w.rlike(r"^\p{L}"), _number(NAME)).otherwise(0))))
 
 
 def kind_of(v: Column) -> Column:
@@ -294,17 +326,27 @@ def kind_of(v: Column) -> Column:
 
 
 def surrogate(v: Column, key: str) -> Column:
-    """The surrogate of an entity, by its type; a number that only looks like a card's stays."""
-    by_kind = {
-        "email": _email(v, key), "secret": _secret(v, key), "access_key": _keep_head(v, key, "access_key", "^(?:AKIA|ghp_|sk-)", CODE), "hex": walk(v, key, "hex", HEX), "card": _card(v, key),
-        "phone": _phone(v, key), "ssn": walk(v, key, "ssn", (_DIGITS,)), "iban": _keep_head(v, key, "iban", "^[A-Z]{2}", CODE), "ip": _ip(v, key), "ip6": walk(v, key, "ip6", ADDRESS), "person": _person(v, key),
+    """The surrogate of an entity, by its type; a number that only looks like a card's stays.
+
+    An entity is cut in parts first, then one expression moves the parts of all types: a walk for each type would make
+    the plan as many times as large, and the driver needs memory for it.
+    """
+    parts_of = {
+        "email": _email(v), "secret": _secret(v), "access_key": _keep_head(v, "access_key", "^(?:AKIA|ghp_|sk-)", CODE), "hex": F.array(_part(v, "hex", _number(HEX))), "card": _card_parts(v),
+        "phone": _phone_parts(v), "ssn": F.array(_part(v, "ssn", _number((_DIGITS,)))), "iban": _keep_head(v, "iban", "^[A-Z]{2}", CODE), "ip6": F.array(_part(v, "ip6", _number(ADDRESS))), "person": _person(v),
     }
 
+    def moved(part: Column) -> Column:
+        text, kind, alphabets = part["text"], part["kind"], part["alphabets"]
+        name = F.when(kind == "person", F.array_position(F.split(F.lit(_ALL_NAMES), " "), text)).otherwise(0).cast("int")
+        return F.when(alphabets == 0, text).otherwise(_bound(name, lambda at: F.when(at > 0, _listed(at, key)).otherwise(walk(text, key, kind, alphabets))))
+
     def of(kind: Column) -> Column:
-        out = v
-        for k, column in reversed(by_kind.items()):
-            out = F.when(kind == k, column).otherwise(out)
-        return out
+        parts = F.array(_part(v))
+        for k, column in reversed(parts_of.items()):
+            parts = F.when(kind == k, column).otherwise(parts)
+        whole = F.array_join(F.transform(parts, moved), "")
+        return F.when(kind == "ip", _ip(v, key)).otherwise(_bound(whole, lambda out: F.when(kind == "card", _card(v, out)).when(kind == "phone", _phone(v, out)).otherwise(out)))
 
     return _bound(kind_of(v), of)
 
@@ -353,8 +395,9 @@ def collisions(entities: DataFrame, key: str) -> DataFrame:
     """(surrogate, entities, real): surrogates that several entities share, or that are entities of the table themselves."""
     # few bytes, but much work for each: dealt out again, or one task would get them all
     dealt = entities.repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    made = dealt.select("entity", surrogate(F.col("entity"), key).alias("surrogate")).where("surrogate != entity")
-    both = made.select("surrogate", F.lit(1).alias("n"), F.lit(False).alias("real")).union(entities.select("entity", F.lit(0), F.lit(True)))
+    made = dealt.select("entity", surrogate(F.col("entity"), key).alias("surrogate"))
+    # those that stay count as none: a filter would be pushed down, with a second copy of the whole expression
+    both = made.select("surrogate", (F.col("surrogate") != F.col("entity")).cast("int").alias("n"), F.lit(False).alias("real")).union(entities.select("entity", F.lit(0), F.lit(True)))
     return both.groupBy("surrogate").agg(F.sum("n").alias("entities"), F.max("real").alias("real")).where("entities > 1 or (entities = 1 and real)")
 
 

@@ -255,3 +255,9 @@ def test_texts_are_those_of_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.text, r.n_entities) for r in S.replace_entities(df, KEY).collect()}
     assert [got[i] for i in range(len(texts))] == [brute.replace(t) for t in texts]
+
+
+def test_plans_are_small(spark, make):
+    """One expression moves all types, once: with a walk for each, and a copy in a filter, the driver ran out of memory."""
+    plan = S.collisions(S.distinct_entities(make(["in.19@mail5.example.com"])), KEY)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") < 10 and len(plan) < 150_000
